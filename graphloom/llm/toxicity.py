@@ -14,7 +14,7 @@ from graphloom.llm import common
 #: Words of a window, and from one window's start to the next: windows overlap by a quarter.
 WINDOW, STRIDE = 32, 24
 #: Labelled documents to learn from, about; and windows that one epoch goes through.
-TRAIN_DOCS, EPOCH_WINDOWS, EPOCHS = 8_000, 16_000, 8
+TRAIN_DOCS, EPOCH_WINDOWS, EPOCHS = 6_000, 16_000, 8
 #: Words with an embedding of their own are those of most training documents; the others share one and differ by characters.
 WORD_DROP, DECAY = 0.15, 1e-4
 VOCABULARY, LEAST_DOCS = 20_000, 4
@@ -167,20 +167,48 @@ class Net:
         return np.round(1 / (1 + np.exp(-np.clip(self.logits(col) - self.shift, -40, 40))), 6)
 
 
+def distinct_words(col: pa.Array) -> tuple[np.ndarray, ...]:
+    """Keys of all distinct words, each word's number among them, their trigrams and those's begins, the rows' first
+    words; by chunks, so that only keys and trigrams of distinct words are held."""
+    keys, numbers, grams, sizes, counts = [], [], [], [], []
+    seen = np.zeros(0, np.uint64)
+    for a, b in common.chunks(col):
+        w = common.Words(col.slice(a, b - a))
+        own, at = np.unique(w.key, return_index=True)
+        fresh = ~np.isin(own, seen)
+        tri, first = trigrams(w, at[fresh])
+        keys.append(own[fresh])
+        grams.append(tri.astype(np.int16))
+        sizes.append(np.diff(first))
+        counts.append(w.counts)
+        numbers.append(w.key)
+        seen = np.concatenate([seen, own[fresh]])
+    order = np.argsort(seen, kind="stable")
+    size = np.concatenate(sizes)
+    first = np.concatenate([[0], np.cumsum(size)])
+    grams = np.concatenate(grams)
+    own = np.concatenate([[0], np.cumsum(size[order])])
+    grams = grams[np.arange(own[-1]) + np.repeat(first[order] - own[:-1], size[order])]
+    keys = seen[order]
+    inverse = np.concatenate([np.searchsorted(keys, x).astype(np.int32) for x in numbers])
+    return keys, inverse, grams.astype(np.int64), own, np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+
+
 def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Net:
     """Multiple-instance training: a toxic document's windows all count at first, later those that score highest."""
     col = pa.array(texts, pa.large_string())
-    w = common.Words(col)
-    doc = w.rows()
-    keys, inverse = np.unique(w.key, return_inverse=True)
-    pairs = np.unique(inverse.astype(np.int64) * (len(texts) + 1) + doc)
-    df = np.bincount(pairs // (len(texts) + 1), minlength=len(keys))
+    keys, inverse, grams, first, doc_first = distinct_words(col)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(doc_first))
+    pairs = np.unique(inverse * np.int64(len(texts)) + doc)
+    df = np.bincount(pairs // len(texts), minlength=len(keys))
+    del pairs, doc
     often = np.flatnonzero(df >= LEAST_DOCS)
     vocabulary = np.sort(keys[often[np.argsort(-df[often], kind="stable")[:VOCABULARY]]])
     net = Net(vocabulary, seed)
-    ids, grams, first, inverse = net.inputs(w)
-    places, real, firsts = windows(w.first)
+    ids = net.ids(keys)
+    places, real, firsts = windows(doc_first)
     which = inverse[places]
+    del places
     owner = np.repeat(np.arange(len(texts)), np.diff(firsts))
     rng = np.random.default_rng(seed)
     target = toxic.astype(np.float32)[owner]
