@@ -1,11 +1,567 @@
-"""All queries of the engine by name, with their SQL."""
+"""All queries of the engine by name, each an operator over the derived graph, with the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from graphloom.functions import identity
+from graphloom.operators import iterative as it
+from graphloom.operators import merkle, retrieval
+from graphloom.operators import relational as rel
+from graphloom.plans import derived
+from graphloom.plans.derived import RUNTIME_SQL, USER_SQL, graph_sql, table
+from graphloom.plans.lineage import cut
 
-def oracle_sql() -> dict:
-    return {}
+#: The queries' present: a fixed second after all events.
+NOW = 1_735_689_600
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+G = "WITH RECURSIVE " + graph_sql()
+EDGE = "edge_hash, source_hash, target_hash, edge_type"
+
+
+# ---------------------------------------------------------------- scans, lookups, filters
+
+
+@query(f"{G} SELECT {EDGE}, confidence, provenance FROM edges")
+def all_edges(spark, d):
+    return derived.edges(spark, d).select(*EDGE.split(", "), "confidence", "provenance")
+
+
+@query(f"{G} SELECT {EDGE} FROM edges WHERE source_hash = (SELECT node_hash FROM nodes WHERE name = 'C7') AND edge_type = 'calls'")
+def edges_from_typed(spark, d):
+    seed = derived.nodes(spark, d).filter("name = 'C7'").select(F.col("node_hash").alias("source_hash"))
+    return derived.edges(spark, d, ("calls",)).join(F.broadcast(seed), "source_hash", "left_semi").select(*EDGE.split(", "))
+
+
+@query(f"{G} SELECT {EDGE} FROM edges WHERE target_hash = (SELECT node_hash FROM nodes WHERE name = 'S3') AND edge_type = 'references'")
+def edges_to_typed(spark, d):
+    seed = derived.nodes(spark, d).filter("name = 'S3'").select(F.col("node_hash").alias("target_hash"))
+    return derived.edges(spark, d, ("references",)).join(F.broadcast(seed), "target_hash", "left_semi").select(*EDGE.split(", "))
+
+
+@query(f"{G} SELECT node_hash, qualified_name FROM nodes WHERE qualified_name ILIKE '%/C1.c1%'")
+def name_search_ilike(spark, d):
+    return rel.name_search(derived.nodes(spark, d), "%/C1.c1").select("node_hash", "qualified_name")
+
+
+@query(f"{G} SELECT node_hash, kind FROM nodes WHERE qualified_name = 'r2://svc/s7.S7'")
+def exact_name(spark, d):
+    return derived.nodes(spark, d).filter("qualified_name = 'r2://svc/s7.S7'").select("node_hash", "kind")
+
+
+@query(f"{G} SELECT node_hash FROM nodes WHERE starts_with(qualified_name, 'geo://')")
+def repo_prefix_filter(spark, d):
+    return derived.nodes(spark, d).filter(F.col("qualified_name").startswith("geo://")).select("node_hash")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE NOT (starts_with(p_name, 'external://') OR regexp_matches(p_name, '(^|/)(dist|build|vendor|node_modules|testdata|fixtures)/') OR regexp_matches(p_name, '(?i)(mock|fake|stub)'))")
+def noise_filter(spark, d):
+    return table(spark, d, "part").filter(~rel.noise(F.col("p_name"))).select("p_partkey", "p_name")
+
+
+# files: an order is a file, its lines' quantities its content; a node lies in the file of its package
+FILES_SQL = "files AS (SELECT sha256('f' || o_orderkey) AS file_hash, 'shared' AS repo_hash, 'pkg/' || (o_custkey % 50) || '/' || (o_orderkey % 10) AS path, sha256(o_orderstatus || o_orderpriority) AS content_hash, o_orderkey FROM orders), fnodes AS (SELECT *, sha256('f' || CAST(substr(name, 2) AS BIGINT)) AS file_hash FROM nodes WHERE starts_with(name, 'O'))"
+
+
+def _files(spark, d):
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select(F.sha2(F.concat(F.lit("f"), k.cast("string")), 256).alias("file_hash"), F.lit("shared").alias("repo_hash"), F.concat(F.lit("pkg/"), (F.col("o_custkey") % 50).cast("string"), F.lit("/"), (k % 10).cast("string")).alias("path"), F.sha2(F.concat("o_orderstatus", "o_orderpriority"), 256).alias("content_hash"))
+
+
+def _fnodes(spark, d):
+    return derived.nodes(spark, d).filter(F.col("name").startswith("O")).withColumn("file_hash", F.sha2(F.concat(F.lit("f"), F.expr("substring(name, 2)")), 256))
+
+
+@query(f"{G}, {FILES_SQL} SELECT node_hash, path FROM fnodes JOIN files USING (file_hash) WHERE path IN ('pkg/3/1', 'pkg/4/2')")
+def nodes_by_file_path(spark, d):
+    return rel.nodes_in_paths(_fnodes(spark, d), _files(spark, d), ["pkg/3/1", "pkg/4/2"]).select("node_hash", "path")
+
+
+@query(f"{G}, {FILES_SQL} SELECT DISTINCT {EDGE} FROM edges e JOIN fnodes n ON e.source_hash = n.node_hash JOIN files f USING (file_hash) WHERE EXISTS (SELECT 1 FROM files g WHERE g.repo_hash = f.repo_hash AND g.path = f.path AND g.content_hash <> f.content_hash)")
+def stale_edges_exists(spark, d):
+    return rel.stale_edges(derived.edges(spark, d), _fnodes(spark, d), _files(spark, d)).select(*EDGE.split(", "))
+
+
+LOST = "kept AS (SELECT * FROM nodes WHERE NOT ends_with(name, '7'))"
+
+
+def _kept(spark, d):
+    return derived.nodes(spark, d).filter(~F.col("name").endswith("7"))
+
+
+@query(f"{G}, {LOST} SELECT {EDGE} FROM edges WHERE target_hash NOT IN (SELECT node_hash FROM kept)")
+def dangling_edges_anti(spark, d):
+    return rel.dangling_edges(derived.edges(spark, d), _kept(spark, d)).select(*EDGE.split(", "))
+
+
+SNAP = "snaps AS (SELECT sha256('s' || o_orderkey) AS snapshot_hash, CASE WHEN o_orderkey > 1 THEN sha256('s' || (o_orderkey - 1 - CASE WHEN o_orderkey % 100 = 0 THEN 1000000 ELSE 0 END)) END AS parent_hash FROM orders)"
+
+
+def _snaps(spark, d):
+    k = F.col("o_orderkey")
+    up = k - 1 - F.when(k % 100 == 0, 1_000_000).otherwise(0)
+    h = lambda x: F.sha2(F.concat(F.lit("s"), x.cast("string")), 256)
+    return table(spark, d, "orders").select(h(k).alias("snapshot_hash"), F.when(k > 1, h(up)).alias("parent_hash"))
+
+
+@query(f"""{G}, {LOST}, {SNAP} SELECT (SELECT count(*) FROM edges WHERE source_hash NOT IN (SELECT node_hash FROM kept)) AS dangling_source, (SELECT count(*) FROM edges WHERE target_hash NOT IN (SELECT node_hash FROM kept)) AS dangling_target,
+(SELECT count(*) FROM snaps WHERE parent_hash IS NOT NULL AND parent_hash NOT IN (SELECT snapshot_hash FROM snaps)) AS broken_chain, CAST(0 AS BIGINT) AS bad_edges, CAST(0 AS BIGINT) AS bad_nodes""")
+def fsck_counts(spark, d):
+    return rel.fsck_counts(_kept(spark, d), derived.edges(spark, d), _snaps(spark, d))
+
+
+# ---------------------------------------------------------------- aggregates
+
+
+@query(f"{G} SELECT kind, count(*) AS n FROM nodes GROUP BY kind")
+def kind_counts(spark, d):
+    return rel.kind_counts(derived.nodes(spark, d))
+
+
+@query(f"{G} SELECT edge_type, count(*) AS n FROM edges GROUP BY edge_type")
+def edge_type_counts(spark, d):
+    return rel.edge_type_counts(derived.edges(spark, d))
+
+
+@query(f"{G}, e AS (SELECT repo_url, count(*) AS edge_count FROM edges JOIN nodes ON source_hash = node_hash GROUP BY 1) SELECT n.repo_url, count(*) AS node_count, CAST(coalesce(max(edge_count), 0) AS BIGINT) AS edge_count FROM nodes n LEFT JOIN e USING (repo_url) GROUP BY 1")
+def repo_node_edge_counts(spark, d):
+    return rel.repo_counts(derived.nodes(spark, d), derived.edges(spark, d))
+
+
+@query(f"{G}, g AS (SELECT target_hash, count(*) AS in_degree FROM edges GROUP BY 1) SELECT * FROM g WHERE in_degree > (SELECT avg(in_degree) FROM g)")
+def hotspots(spark, d):
+    return rel.hotspots(derived.edges(spark, d))
+
+
+@query(f"WITH {RUNTIME_SQL} SELECT * FROM runtime WHERE service_name = 'svc3' AND route_pattern LIKE '/u/1%'")
+def runtime_edges_by_service(spark, d):
+    return rel.runtime_by_service(derived.runtime_edges(spark, d), "svc3", "/u/1%")
+
+
+ROUTES_SQL = "routes AS (SELECT 'svc' || (range % 20) AS service_name, '/u/' || range || '/click' AS route_pattern FROM range(260))"
+
+
+def _routes(spark):
+    return spark.range(260).select(F.concat(F.lit("svc"), (F.col("id") % 20).cast("string")).alias("service_name"), F.concat(F.lit("/u/"), F.col("id").cast("string"), F.lit("/click")).alias("route_pattern"))
+
+
+def _middle(runtime: str) -> str:
+    return f"(SELECT CAST(avg(last_observed) AS BIGINT) FROM {runtime})"
+
+
+@query(f"WITH {RUNTIME_SQL}, {ROUTES_SQL} SELECT DISTINCT service_name, route_pattern FROM routes LEFT JOIN runtime USING (service_name, route_pattern) WHERE last_observed IS NULL OR last_observed < {NOW - 30 * 86400}")
+def dead_routes(spark, d):
+    return rel.dead_routes(_routes(spark), derived.runtime_edges(spark, d), NOW - 30 * 86400)
+
+
+AGE = f"(({NOW} - last_observed) / 86400.0)"
+
+
+@query(f"WITH {RUNTIME_SQL} SELECT count(*) AS total, count(*) FILTER ({AGE} <= 7) AS active, count(*) FILTER ({AGE} > 30) AS stale, count(*) FILTER ({AGE} > 90) AS collectable FROM runtime")
+def runtime_stats_buckets(spark, d):
+    return rel.runtime_stats(derived.runtime_edges(spark, d), NOW)
+
+
+@query(f"WITH {RUNTIME_SQL} SELECT CASE WHEN {AGE} <= 7 THEN 'active' WHEN {AGE} <= 30 THEN 'aging' WHEN {AGE} <= 90 THEN 'stale' ELSE 'collectable' END AS bucket, count(*) AS n FROM runtime GROUP BY 1")
+def trace_stats_exclusive(spark, d):
+    return rel.trace_stats(derived.runtime_edges(spark, d), NOW)
+
+
+@query(f"WITH {RUNTIME_SQL} SELECT service_name, route_pattern, CAST(CASE WHEN {AGE} > 90 THEN 0.0 WHEN {AGE} > 30 THEN 0.2 WHEN observation_count > 1000 THEN 0.95 WHEN observation_count >= 100 THEN 0.85 WHEN observation_count >= 10 THEN 0.7 WHEN observation_count >= 1 THEN 0.5 ELSE 0.2 END AS DOUBLE) AS confidence FROM runtime")
+def confidence_decay(spark, d):
+    return rel.decay_confidence(derived.runtime_edges(spark, d), NOW).select("service_name", "route_pattern", "confidence")
+
+
+FEEDBACK_SQL = "fb AS (SELECT event_type || (user_id % 40) AS symbol_hash, 's' || (user_id % 7) AS session_id, CAST(value > 50 AS INT) AS useful, event_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events)"
+
+
+def _feedback(spark, d):
+    return table(spark, d, "events").select(F.concat("event_type", (F.col("user_id") % 40).cast("string")).alias("symbol_hash"), F.concat(F.lit("s"), (F.col("user_id") % 7).cast("string")).alias("session_id"), (F.col("value") > 50).cast("int").alias("useful"), F.col("event_id").alias("id"), derived.seconds("ts").alias("at"))
+
+
+@query(f"WITH {FEEDBACK_SQL} SELECT symbol_hash, CAST(sum(useful) AS BIGINT) AS useful, count(*) AS total, count(DISTINCT session_id) AS sessions, round(sum(useful) / count(*), 6) AS rate FROM fb GROUP BY 1 HAVING count(*) >= 5")
+def feedback_report(spark, d):
+    return rel.feedback_report(_feedback(spark, d), 5)
+
+
+@query(f"WITH {FEEDBACK_SQL}, g AS (SELECT symbol_hash, sum(useful) AS u, count(*) AS n FROM fb GROUP BY 1) SELECT symbol_hash, round(u / n, 6) AS plain, round(u / n * least(sqrt(n / 10.0), 1.0), 6) AS root, round(u / n * least(n / 10.0, 1.0), 6) AS linear, round(u / (u + 2 * (n - u)), 6) AS asym FROM g")
+def feedback_boosts_modes(spark, d):
+    return rel.feedback_boosts(_feedback(spark, d))
+
+
+@query("WITH v AS (SELECT o_custkey % 100 AS symbol, o_orderpriority AS author, count(*) AS n FROM orders GROUP BY ALL) SELECT symbol, author, n FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY n DESC, author) AS k FROM v) WHERE k = 1")
+def author_majority(spark, d):
+    return rel.majority(table(spark, d, "orders").select((F.col("o_custkey") % 100).alias("symbol"), F.col("o_orderpriority").alias("author")), "symbol", "author")
+
+
+@query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 1")
+def latest_snapshot(spark, d):
+    return table(spark, d, "events").select("event_id", "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(1)
+
+
+@query("SELECT user_id, max_by(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY 1")
+def upsert_keep_latest(spark, d):
+    rows = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    return rel.keep_latest(rows, "user_id", "event_id").select("user_id", "event_type", "event_id")
+
+
+@query(f"WITH {FEEDBACK_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sec DESC, id DESC) AS k FROM fb) SELECT session_id, symbol_hash AS symbol, round(least(sum(exp(-0.6931471805599453 / 180000 * ({NOW} - sec))), 2.0), 6) AS boost FROM r WHERE k <= 20 GROUP BY 1, 2 HAVING round(least(sum(exp(-0.6931471805599453 / 180000 * ({NOW} - sec))), 2.0), 6) > 0.01")
+def session_boost(spark, d):
+    return rel.session_boosts(_feedback(spark, d).withColumnRenamed("symbol_hash", "symbol"), NOW, half_life=180_000.0)
+
+
+@query("""WITH r AS (SELECT lang AS query, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, d.doc_id) AS rank, l.quality AS relevant FROM documents d JOIN labels l USING (doc_id)),
+t AS (SELECT query, sum(relevant) AS total FROM r GROUP BY 1),
+g AS (SELECT query, sum(CASE WHEN rank <= 10 THEN relevant ELSE 0 END) AS hits, sum(CASE WHEN rank <= 10 AND relevant = 1 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, min(CASE WHEN relevant = 1 THEN rank END) AS first FROM r GROUP BY 1)
+SELECT query, round(hits / 10, 6) AS precision, round(hits / total, 6) AS recall, round(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, CAST(greatest(least(total, 10), 1) AS BIGINT) + 1) AS x(i)), 6) AS ndcg, round(coalesce(1 / first, 0), 6) AS mrr FROM g JOIN t USING (query)""")
+def retrieval_metrics(spark, d):
+    from pyspark.sql.window import Window
+
+    r = table(spark, d, "documents").select("doc_id", "lang", "n_chars").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    r = r.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")))
+    total = r.groupBy("lang").agg(F.sum("quality").alias("total"))
+    return rel.retrieval_metrics(r.join(total, "lang").select(F.col("lang").alias("query"), "rank", F.col("quality").alias("relevant"), "total"))
+
+
+# ---------------------------------------------------------------- derived edges
+
+
+TREE_SQL = """tn AS (SELECT sha256('n' || q) AS node_hash, q AS qualified_name, kind FROM (SELECT DISTINCT 'r://' || lower(p_brand) || '.' || replace(p_type, ' ', '') AS q, 'type' AS kind FROM part UNION ALL SELECT 'r://' || lower(p_brand) || '.' || replace(p_type, ' ', '') || '.m' || p_partkey, 'method' FROM part))"""
+
+
+def _tree(spark, d):
+    part = table(spark, d, "part")
+    owner = F.concat(F.lit("r://"), F.lower("p_brand"), F.lit("."), F.replace("p_type", F.lit(" "), F.lit("")))
+    rows = part.select(owner.alias("qualified_name"), F.lit("type").alias("kind")).distinct().unionByName(part.select(F.concat(owner, F.lit(".m"), F.col("p_partkey").cast("string")).alias("qualified_name"), F.lit("method").alias("kind")))
+    return rows.withColumn("node_hash", F.sha2(F.concat(F.lit("n"), "qualified_name"), 256))
+
+
+@query(f"WITH {TREE_SQL}, j AS (SELECT p.node_hash AS a, c.node_hash AS b FROM tn c JOIN tn p ON p.kind = 'type' AND p.qualified_name = regexp_extract(c.qualified_name, '^(.*)\\.[^.]*$', 1)) SELECT a AS source_hash, b AS target_hash, 'contains' AS edge_type FROM j UNION ALL SELECT b, a, 'member_of' FROM j")
+def contains_edges(spark, d):
+    return rel.contains_edges(_tree(spark, d), ("type", "class", "interface", "struct", "module", "trait", "object"))
+
+
+@query("WITH m AS (SELECT p_brand AS t, p_size AS m, min(p_partkey) AS id FROM part GROUP BY ALL), i AS (SELECT DISTINCT p_brand AS impl, 'Brand#' || CAST(substr(p_brand, 7, 1) AS INT) || '1' AS iface FROM part) SELECT a.id AS source, b.id AS target FROM i JOIN m a ON a.t = impl JOIN m b ON b.t = iface AND b.m = a.m WHERE impl <> iface")
+def overrides_edges(spark, d):
+    part = table(spark, d, "part")
+    m = part.groupBy(F.col("p_brand").alias("t"), F.col("p_size").alias("m")).agg(F.min("p_partkey").alias("id"))
+    i = part.select(F.col("p_brand").alias("t"), F.concat(F.lit("Brand#"), F.substring("p_brand", 7, 1), F.lit("1")).alias("iface")).distinct().filter("t <> iface")
+    own = m.select("t", "m", F.col("id").alias("source")).join(i, "t")
+    return own.join(m.select(F.col("t").alias("iface"), "m", F.col("id").alias("target")), ["iface", "m"]).select("source", "target")
+
+
+@query("WITH h AS (SELECT DISTINCT l_orderkey % 500 AS f, l_partkey % 100 AS t FROM lineitem), i AS (SELECT DISTINCT l_suppkey AS impl, l_partkey % 100 AS t FROM lineitem) SELECT DISTINCT f AS source, impl AS target FROM h JOIN i USING (t) WHERE f < 20 AND impl < 20")
+def interface_hints(spark, d):
+    li = table(spark, d, "lineitem")
+    h = li.select((F.col("l_orderkey") % 500).alias("source"), (F.col("l_partkey") % 100).alias("t")).filter("source < 20").distinct()
+    i = li.select(F.col("l_suppkey").alias("target"), (F.col("l_partkey") % 100).alias("t")).filter("target < 20").distinct()
+    return h.join(i, "t").select("source", "target").distinct()
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY test ORDER BY target) AS k FROM (SELECT DISTINCT l_orderkey AS test, l_partkey AS target FROM lineitem)), q AS (SELECT * FROM r WHERE k <= 20),
+p AS (SELECT x.test, x.target AS a, y.target AS b, row_number() OVER (PARTITION BY x.test ORDER BY x.target, y.target) AS j FROM q x JOIN q y ON x.test = y.test AND x.k < y.k) SELECT DISTINCT a, b FROM p WHERE j <= 20""")
+def co_tested_pairs(spark, d):
+    return rel.co_tested(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("test"), F.col("l_partkey").alias("target")))
+
+
+@query("""WITH p AS (SELECT p_brand AS g, p_partkey AS k, list_distinct(list_filter(string_split_regex(lower(p_name || ' ' || p_type), '[^a-z0-9]+'), lambda w: length(w) >= 3)) AS t FROM part)
+SELECT * FROM (SELECT a.k AS x, b.k AS y, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS jaccard FROM p a JOIN p b ON a.g = b.g AND a.k < b.k) WHERE jaccard > 0.5""")
+def similarity_jaccard(spark, d):
+    part = table(spark, d, "part").select(F.col("p_brand").alias("g"), F.col("p_partkey").alias("k"), identity.token_set(F.concat_ws(" ", "p_name", "p_type")).alias("t"))
+    return rel.similar_pairs(part, "g", "k", "t", 0.5)
+
+
+RULES = [(".*", ["all"]), (r"example\.com", ["web", "com"]), ("/en/", ["english"]), (r"spam", ["trust"])]
+
+
+@query(r"""WITH o AS (SELECT url AS path, CASE WHEN regexp_matches(url, 'spam') THEN ['trust'] WHEN regexp_matches(url, '/en/') THEN ['english'] WHEN regexp_matches(url, 'example\.com') THEN ['web', 'com'] ELSE ['all'] END AS o FROM pages) SELECT path, unnest(o) AS owner FROM o""")
+def ownership_last_match(spark, d):
+    return rel.ownership(table(spark, d, "pages").select(F.col("url").alias("path")), RULES)
+
+
+@query(f"""{G}, {LOST}, r AS (SELECT DISTINCT repo_url AS other FROM nodes), dang AS (SELECT sha256('x' || node_hash) AS edge_hash, sha256(concat_ws(chr(0), 'node', 'r9', package_path, name, kind)) AS target_hash FROM nodes WHERE starts_with(name, 'S'))
+SELECT edge_hash, min(n.node_hash) AS new_target FROM dang JOIN (SELECT node_hash, sha256(concat_ws(chr(0), 'node', 'r9', package_path, name, kind)) AS wrong FROM nodes) n ON n.wrong = dang.target_hash GROUP BY 1""")
+def cross_repo_retarget(spark, d):
+    nodes = derived.nodes(spark, d)
+    wrong = nodes.filter(F.col("name").startswith("S")).select(F.sha2(F.concat(F.lit("x"), "node_hash"), 256).alias("edge_hash"), identity.node_hash(F.lit("r9"), F.col("package_path"), F.col("name"), F.col("kind")).alias("target_hash"))
+    return rel.retarget(wrong, nodes, spark.createDataFrame([("r9",)], "repo_url string"))
+
+
+# ---------------------------------------------------------------- closures and paths
+
+
+SEED_SQL = "seed AS (SELECT " + derived._sql_id("P", "l_partkey") + " AS start FROM lineitem GROUP BY l_partkey ORDER BY count(*) DESC, l_partkey LIMIT 1)"
+CALLS = "calls AS (SELECT DISTINCT source_hash, target_hash FROM edges WHERE edge_type = 'calls')"
+
+
+def _seed(spark, d):
+    best = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_partkey").limit(1)
+    return cut(best.select(derived.node_id("P", "l_partkey").alias("start")), "seed")
+
+
+UP = f"{G}, {SEED_SQL}, {CALLS}, up AS (SELECT start, source_hash AS node, 1 AS depth FROM seed JOIN calls ON target_hash = start UNION SELECT start, source_hash, depth + 1 FROM up JOIN calls ON target_hash = node WHERE depth < 5)"
+
+
+@query(f"{UP} SELECT start, node, depth FROM up")
+def transitive_callers(spark, d):
+    return it.closure(derived.edges(spark, d, ("calls",)), _seed(spark, d), 5, reverse=True)
+
+
+@query(f"{UP} SELECT start, coalesce(repo_url, 'unknown') AS repo_url, count(DISTINCT node) AS affected, min(depth) AS nearest FROM up LEFT JOIN nodes ON node_hash = node GROUP BY 1, 2")
+def blast_radius(spark, d):
+    return it.blast_radius(it.closure(derived.edges(spark, d, ("calls",)), _seed(spark, d), 5, reverse=True), derived.nodes(spark, d))
+
+
+@query(f"{G}, {CALLS}, seed AS (SELECT node_hash AS start FROM nodes WHERE name IN ('C7', 'C8')), dn AS (SELECT start, target_hash AS node, 1 AS depth FROM seed JOIN calls ON source_hash = start UNION SELECT start, target_hash, depth + 1 FROM dn JOIN calls ON source_hash = node WHERE depth < 5) SELECT start, node, depth FROM dn")
+def transitive_callees(spark, d):
+    seeds = derived.nodes(spark, d).filter("name in ('C7', 'C8')").select(F.col("node_hash").alias("start"))
+    return it.closure(derived.edges(spark, d, ("calls",)), seeds, 5)
+
+
+@query(f"{UP} SELECT start, name AS test, min(depth) AS depth FROM up JOIN nodes ON node_hash = node WHERE depth <= 3 AND starts_with(name, 'C') GROUP BY 1, 2")
+def test_scope(spark, d):
+    found = it.reach(derived.edges(spark, d, ("calls",)), _seed(spark, d), 3, reverse=True).filter("depth > 0")
+    names = derived.nodes(spark, d).filter(F.col("name").startswith("C")).select(F.col("node_hash").alias("node"), F.col("name").alias("test"))
+    return found.join(names, "node").select("start", "test", "depth")
+
+
+@query(f"{G}, e AS (SELECT DISTINCT source_hash, target_hash FROM edges), t AS (SELECT node_hash AS t FROM nodes WHERE name = 'R1'), w AS (SELECT target_hash AS node, source_hash || '>' || target_hash AS path, 1 AS hops FROM e WHERE source_hash = (SELECT node_hash FROM nodes WHERE name = 'C1') UNION ALL SELECT target_hash, path || '>' || target_hash, hops + 1 FROM w JOIN e ON source_hash = node WHERE hops < 5 AND node <> (SELECT t FROM t)) SELECT hops, path FROM w WHERE node = (SELECT t FROM t) ORDER BY hops, path LIMIT 10")
+def flow_between_paths(spark, d):
+    names = {r["name"]: r["node_hash"] for r in derived.nodes(spark, d).filter("name in ('C1', 'R1')").select("name", "node_hash").collect()}
+    return it.paths(derived.edges(spark, d), names["C1"], names["R1"])
+
+
+@query(f"{G}, b AS (SELECT DISTINCT source_hash AS a, target_hash AS b FROM edges WHERE edge_type <> 'contains' UNION SELECT target_hash, source_hash FROM edges WHERE edge_type <> 'contains'), w AS (SELECT node_hash AS node, 0 AS depth FROM nodes WHERE name IN ('C3', 'S2') UNION SELECT b.b, depth + 1 FROM w JOIN b ON a = node WHERE depth < 3) SELECT node, min(depth) AS depth FROM w GROUP BY 1")
+def bfs_distance(spark, d):
+    seeds = derived.nodes(spark, d).filter("name in ('C3', 'S2')").select(F.col("node_hash").alias("start"))
+    return it.distances(derived.edges(spark, d, ("calls", "references")), seeds, 3)
+
+
+@query(f"{UP} SELECT start, count(DISTINCT node) AS callers, CASE WHEN count(DISTINCT node) > 20 THEN 'high' WHEN count(DISTINCT node) > 5 THEN 'medium' ELSE 'low' END AS risk FROM up GROUP BY 1")
+def pr_impact_risk(spark, d):
+    g = it.closure(derived.edges(spark, d, ("calls",)), _seed(spark, d), 5, reverse=True).groupBy("start").agg(F.countDistinct("node").alias("callers"))
+    return g.withColumn("risk", identity.confidence_bucket(F.col("callers")))
+
+
+BOTH = "sym AS (SELECT u, v, sum(w) AS w FROM (SELECT u, v, w FROM ue UNION ALL SELECT v, u, w FROM ue) GROUP BY 1, 2), share AS (SELECT u, v, w / sum(w) OVER (PARTITION BY u) AS s FROM sym)"
+
+
+def _walk_sql(rounds: int = 5) -> str:
+    steps = ["p0 AS (SELECT CAST(range AS BIGINT) AS node, CAST(0.25 AS DOUBLE) AS p FROM range(4))"]
+    for k in range(1, rounds + 1):
+        steps.append(f"p{k} AS (SELECT node, sum(p) AS p FROM (SELECT v AS node, 0.8 * p * s AS p FROM p{k - 1} JOIN share ON u = node UNION ALL SELECT CAST(range AS BIGINT), 0.25 * 0.2 FROM range(4)) GROUP BY 1)")
+    return f"WITH {USER_SQL}, {BOTH}, {', '.join(steps)} SELECT node, round(p / (SELECT max(p) FROM p{rounds}), 6) AS score FROM p{rounds}"
+
+
+@query(_walk_sql())
+def rwr_fixed_iters(spark, d):
+    return it.random_walk(derived.user_edges(spark, d), spark.range(4).select(F.col("id").alias("node"), F.lit(0.25).alias("s")))
+
+
+def _hits_sql(rounds: int = 5) -> str:
+    steps = ["h0 AS (SELECT node, CAST(1 AS DOUBLE) AS x FROM ns)"]
+    for k in range(1, rounds + 1):
+        steps += [f"ra{k} AS (SELECT v AS node, sum(x) AS x FROM ue JOIN h{k - 1} ON u = node GROUP BY 1)", f"a{k} AS (SELECT node, x / sqrt(sum(x * x) OVER ()) AS x FROM ra{k})", f"rh{k} AS (SELECT u AS node, sum(x) AS x FROM ue JOIN a{k} ON v = node GROUP BY 1)", f"h{k} AS (SELECT node, x / sqrt(sum(x * x) OVER ()) AS x FROM rh{k})"]
+    return f"WITH {USER_SQL}, ns AS (SELECT u AS node FROM ue UNION SELECT v FROM ue), {', '.join(steps)} SELECT node, round(coalesce(a{rounds}.x, 0), 6) AS authority, round(coalesce(h{rounds}.x, 0), 6) AS hub FROM ns LEFT JOIN a{rounds} USING (node) LEFT JOIN h{rounds} USING (node)"
+
+
+@query(_hits_sql())
+def hits_fixed_iters(spark, d):
+    return it.hits(derived.user_edges(spark, d))
+
+
+def _labels_sql(rounds: int = 3) -> str:
+    steps = ["l0 AS (SELECT DISTINCT u AS node, u AS label FROM sym)"]
+    for k in range(1, rounds + 1):
+        steps.append(f"l{k} AS (SELECT node, label FROM (SELECT u AS node, label, row_number() OVER (PARTITION BY u ORDER BY sum(w) DESC, label) AS k FROM sym JOIN l{k - 1} ON v = node GROUP BY u, label) WHERE k = 1)")
+    return f"WITH {USER_SQL}, {BOTH}, {', '.join(steps)} SELECT * FROM l{rounds}"
+
+
+@query(_labels_sql())
+def lpa_sync(spark, d):
+    return it.label_propagation(derived.user_edges(spark, d))
+
+
+@query()
+def louvain(spark, d):
+    return it.louvain(derived.user_edges(spark, d))
+
+
+@query(f"WITH RECURSIVE {SNAP}, c AS (SELECT sha256('s399') AS snapshot_hash, 0 AS \"at\" UNION ALL SELECT parent_hash, \"at\" + 1 FROM c JOIN snaps USING (snapshot_hash) WHERE parent_hash IS NOT NULL) SELECT snapshot_hash, \"at\" FROM c WHERE snapshot_hash IN (SELECT snapshot_hash FROM snaps)")
+def snapshot_chain(spark, d):
+    import hashlib
+
+    return it.chain(_snaps(spark, d), hashlib.sha256(b"s399").hexdigest())
+
+
+# ---------------------------------------------------------------- snapshots and Merkle trees
+
+
+SIDES = f"{G}, li AS (SELECT {derived._sql_id('O', 'l_orderkey')} AS s, {derived._sql_id('P', 'l_partkey')} AS t, 'pkg/q' || (l_orderkey % 16) AS package_path, CASE WHEN l_linenumber % 2 = 0 THEN 'calls' ELSE 'references' END AS edge_type, l_shipdate FROM lineitem), sides AS (SELECT DISTINCT sha256(concat_ws(chr(0), 'edge', s, t, edge_type, 'x')) AS edge_hash, package_path, edge_type, l_shipdate < TIMESTAMP '1997-01-01' AS old FROM li), a AS (SELECT DISTINCT edge_hash, package_path, edge_type FROM sides WHERE old), b AS (SELECT DISTINCT edge_hash, package_path, edge_type FROM sides WHERE NOT starts_with(edge_hash, '0'))"
+
+
+def _sides(spark, d):
+    k = F.col("l_linenumber") % 2 == 0
+    rows = table(spark, d, "lineitem").select(derived.node_id("O", "l_orderkey").alias("s"), derived.node_id("P", "l_partkey").alias("t"), F.concat(F.lit("pkg/q"), (F.col("l_orderkey") % 16).cast("string")).alias("package_path"), F.when(k, "calls").otherwise("references").alias("edge_type"), "l_shipdate")
+    rows = rows.select(identity.edge_hash(F.col("s"), F.col("t"), F.col("edge_type"), F.lit("x")).alias("edge_hash"), "package_path", "edge_type", "l_shipdate")
+    old = rows.filter(F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp")).drop("l_shipdate").distinct()
+    return old, rows.filter(~F.col("edge_hash").startswith("0")).drop("l_shipdate").distinct()
+
+
+@query(f"{SIDES} SELECT edge_hash, 'added' AS change FROM b WHERE edge_hash NOT IN (SELECT edge_hash FROM a)")
+def snapshot_diff_added(spark, d):
+    return merkle.leaf_diff(*_sides(spark, d)).filter("change = 'added'")
+
+
+@query(f"{SIDES} SELECT edge_hash, 'removed' AS change FROM a WHERE edge_hash NOT IN (SELECT edge_hash FROM b)")
+def snapshot_diff_removed(spark, d):
+    return merkle.leaf_diff(*_sides(spark, d)).filter("change = 'removed'")
+
+
+@query(f"{SIDES} SELECT edge_hash, 'added' AS change FROM b WHERE edge_hash NOT IN (SELECT edge_hash FROM a) UNION ALL SELECT edge_hash, 'removed' FROM a WHERE edge_hash NOT IN (SELECT edge_hash FROM b)")
+def merkle_leaf_diff(spark, d):
+    return merkle.leaf_diff(*_sides(spark, d))
+
+
+TREES = f"{SIDES}, pa AS (SELECT package_path, edge_type, string_agg(edge_hash, ',' ORDER BY edge_hash) AS x FROM a GROUP BY 1, 2), pb AS (SELECT package_path, edge_type, string_agg(edge_hash, ',' ORDER BY edge_hash) AS y FROM b GROUP BY 1, 2), td AS (SELECT package_path, edge_type, CASE WHEN x IS NULL THEN 'added' WHEN y IS NULL THEN 'removed' ELSE 'changed' END AS change FROM pa FULL JOIN pb USING (package_path, edge_type) WHERE x IS DISTINCT FROM y)"
+
+
+@query(f"{TREES} SELECT * FROM td")
+def hier_diff(spark, d):
+    return merkle.tree_diff(*_sides(spark, d))
+
+
+@query(f"{TREES} SELECT CASE max(CASE WHEN edge_type IN ('calls', 'implements', 'overrides', 'throws') THEN 4 WHEN edge_type IN ('rpc', 'produces', 'consumes') THEN 3 ELSE 2 END) WHEN 4 THEN 'behavioral' WHEN 3 THEN 'runtime_drift' WHEN 2 THEN 'structural' ELSE 'no_change' END AS class FROM td")
+def change_class(spark, d):
+    return merkle.classify(merkle.tree_diff(*_sides(spark, d)))
+
+
+@query()
+def merkle_roots(spark, d):
+    return merkle.roots(_sides(spark, d)[0])[0]
+
+
+@query()
+def merkle_repo_root(spark, d):
+    return merkle.repo_root(cut(merkle.roots(_sides(spark, d)[0])[1], "packages"))
+
+
+# ---------------------------------------------------------------- retrieval and scoring
+
+
+TERMS = ["the", "thing", "under"]
+
+
+@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS w FROM documents),
+r AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'the')) * 1.0::DOUBLE AS t0, len(list_filter(w, lambda x: x = 'thing')) * 1.0::DOUBLE AS t1, len(list_filter(w, lambda x: x = 'under')) * 1.0::DOUBLE AS t2 FROM w),
+s AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (t0 > 0) AS d0, count(*) FILTER (t1 > 0) AS d1, count(*) FILTER (t2 > 0) AS d2 FROM r)
+SELECT doc_id, round(greatest(ln((docs - d0 + 0.5) / (d0 + 0.5)), 1e-6) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * n / mean)) + greatest(ln((docs - d1 + 0.5) / (d1 + 0.5)), 1e-6) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * n / mean)) + greatest(ln((docs - d2 + 0.5) / (d2 + 0.5)), 1e-6) * t2 * 2.2 / (t2 + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score
+FROM r, s WHERE t0 + t1 + t2 > 0 ORDER BY score DESC, doc_id LIMIT 50""")
+def bm25_top_k(spark, d):
+    return retrieval.bm25(table(spark, d, "documents").select("doc_id", "text"), "doc_id", {"text": 1.0}, TERMS, 50)
+
+
+@query("WITH t AS (SELECT p_name, CASE WHEN lower(p_name) = 'part' THEN 1 WHEN starts_with(lower(p_name), 'part') THEN 2 WHEN contains(lower(p_name), 'part') THEN 3 END AS tier FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY p_name) AS k FROM t WHERE tier IS NOT NULL) SELECT p_name, tier FROM r WHERE k <= CASE tier WHEN 1 THEN 20 WHEN 2 THEN 30 ELSE 40 END")
+def tiered_search(spark, d):
+    return retrieval.tiered(table(spark, d, "part").select("p_name"), "p_name", "part")
+
+
+@query("WITH a AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS rank FROM part ORDER BY 2 LIMIT 100), b AS (SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey) - 1 AS rank FROM part ORDER BY 2 LIMIT 100) SELECT p_partkey, round(sum(s), 9) AS score FROM (SELECT p_partkey, 2.0::DOUBLE / (60 + rank + 1) AS s FROM a UNION ALL SELECT p_partkey, 1.5::DOUBLE / (60 + rank + 1) FROM b) GROUP BY 1 ORDER BY score DESC, p_partkey LIMIT 40")
+def rrf_fusion(spark, d):
+    from pyspark.sql.window import Window
+
+    part = table(spark, d, "part")
+    ranked = [part.orderBy(F.desc(c), "p_partkey").limit(100).withColumn("rank", F.row_number().over(Window.orderBy(F.desc(c), "p_partkey")) - 1).select("p_partkey", "rank") for c in ("p_retailprice", "p_size")]
+    return retrieval.fuse([(ranked[0], 2.0), (ranked[1], 1.5)], "p_partkey")
+
+
+@query("WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS cosine FROM embeddings, q ORDER BY cosine DESC, vec_id LIMIT 20")
+def cosine_top_k(spark, d):
+    e = table(spark, d, "embeddings")
+    return retrieval.vector_top_k(e, "vec_id", "embedding", [float(x) for x in e.filter("vec_id = 0").first()["embedding"]], 20)
+
+
+RANK_SQL = "rk AS (SELECT event_type || user_id AS symbol, count(*) AS callers, round(avg(value) / 100, 6) AS confidence, min(event_id % 5) AS distance, max(event_id % 100) AS age_days, round(max(value) / 200 - 0.2, 6) AS feedback, 0.1::DOUBLE AS session, user_id % 10 = 0 AS is_test FROM events GROUP BY event_type, user_id)"
+
+
+def _rank_rows(spark, d):
+    e = table(spark, d, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("callers"), F.round(F.avg("value") / 100, 6).alias("confidence"), F.min(F.col("event_id") % 5).alias("distance"), F.max(F.col("event_id") % 100).alias("age_days"), F.round(F.max("value") / 200 - 0.2, 6).alias("feedback"))
+    return e.select(F.concat("event_type", F.col("user_id").cast("string")).alias("symbol"), "callers", "confidence", "distance", "age_days", "feedback", F.lit(0.1).alias("session"), (F.col("user_id") % 10 == 0).alias("is_test"))
+
+
+@query(f"WITH {RANK_SQL} SELECT symbol, round((0.35 * callers / (SELECT greatest(max(callers), 1) FROM rk) + 0.2 * confidence + 0.15 * CASE WHEN age_days <= 1 THEN 1.0 WHEN age_days <= 7 THEN 0.8 WHEN age_days <= 30 THEN 0.5 WHEN age_days <= 90 THEN 0.3 ELSE 0.1 END + 0.15 / (1 + distance) + CASE WHEN feedback > 0 THEN 0.25 * feedback ELSE 0.05 * feedback END + 0.2 * session) * CASE WHEN is_test THEN 0.15 ELSE 1.0 END, 6) AS score FROM rk")
+def rank_symbols(spark, d):
+    return retrieval.rank_symbols(_rank_rows(spark, d))
+
+
+@query(f"{G} SELECT node_hash, greatest(CAST(floor(strlen(qualified_name || ' ' || kind || ' ' || name) / 4) AS BIGINT), 1) AS cost FROM nodes")
+def token_cost(spark, d):
+    return derived.nodes(spark, d).select("node_hash", identity.token_cost(F.col("qualified_name"), F.col("kind"), F.col("name")).alias("cost"))
+
+
+@query()
+def knapsack_pack(spark, d):
+    rows = retrieval.rank_symbols(_rank_rows(spark, d))
+    return retrieval.pack(rows.withColumn("cost", F.length("symbol").cast("long")), 2000)
+
+
+@query("SELECT coalesce(a.s, b.s) AS symbol, CASE WHEN a.s IS NULL THEN 'added' WHEN b.s IS NULL THEN 'removed' ELSE 'unchanged' END AS change FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS s FROM orders WHERE o_orderkey % 3 = 0) a FULL JOIN (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS s FROM orders WHERE o_orderkey % 3 = 1) b ON a.s = b.s")
+def pack_delta(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("symbol"), (F.col("o_orderkey") % 3).alias("k"))
+    return retrieval.pack_delta(o.filter("k = 0").select("symbol").distinct(), o.filter("k = 1").select("symbol").distinct())
+
+
+@query(f"""WITH m AS (SELECT event_id AS id, event_type || ' k' || (user_id % 30) AS keywords, 'y' || (user_id % 50) AS symbol, value AS score, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events),
+h AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY sec DESC, id DESC) AS k FROM m, (SELECT unnest(['click', 'k12']) AS word) WHERE contains(lower(keywords), word))
+SELECT symbol, round(sum(score * CASE WHEN ({NOW} - sec) / 86400.0 <= 7 THEN 1.0 ELSE 7 / (({NOW} - sec) / 86400.0) END), 6) AS score FROM h WHERE k <= 50 GROUP BY 1""")
+def task_memory_recall(spark, d):
+    m = table(spark, d, "events").select(F.col("event_id").alias("id"), F.concat("event_type", F.lit(" k"), (F.col("user_id") % 30).cast("string")).alias("keywords"), F.concat(F.lit("y"), (F.col("user_id") % 50).cast("string")).alias("symbol"), F.col("value").alias("score"), derived.seconds("ts").alias("at"))
+    return retrieval.recall_memory(m, ["click", "k12"], NOW)
+
+
+ISO_SQL = "iso AS (SELECT l_suppkey AS file, l_suppkey % 20 AS pkg, count(DISTINCT l_orderkey) % 15 AS inbound, count(DISTINCT l_partkey) % 7 AS outbound, l_suppkey % 4 = 0 AS env_only, l_suppkey % 5 = 0 AS hooked FROM lineitem GROUP BY 1, 2), sc AS (SELECT *, round(least(greatest((1 - least(inbound, 10) / 10 * 0.7) * (least(outbound, 5) / 5 * CASE WHEN env_only THEN 0.2 ELSE 1.0 END) * CASE WHEN hooked THEN 1.5 ELSE 1.0 END, 0.0), 1.0), 6) AS score FROM iso)"
+
+
+def _isolation(spark, d):
+    g = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("file")).agg((F.countDistinct("l_orderkey") % 15).alias("inbound"), (F.countDistinct("l_partkey") % 7).alias("outbound"))
+    return rel.isolation(g.withColumns({"pkg": F.col("file") % 20, "env_only": F.col("file") % 4 == 0, "hooked": F.col("file") % 5 == 0}))
+
+
+@query(f"WITH {ISO_SQL} SELECT file, inbound, outbound, score FROM sc")
+def isolation_score(spark, d):
+    return _isolation(spark, d).select("file", "inbound", "outbound", "score")
+
+
+@query(f"WITH {ISO_SQL} SELECT pkg, count(*) FILTER (score >= 0.3) AS flagged, count(*) AS files, CASE WHEN count(*) FILTER (score >= 0.3) >= 2 AND count(*) FILTER (score >= 0.3) / count(*) >= 0.1 THEN 'suspicious' WHEN count(*) FILTER (score >= 0.3) >= 1 THEN 'review' ELSE 'clean' END AS verdict FROM sc GROUP BY 1")
+def supply_chain_verdict(spark, d):
+    return rel.verdicts(_isolation(spark, d), "pkg")
+
+
+@query(f"WITH {RUNTIME_SQL} SELECT sha256(concat_ws(chr(0), 'edge', service_name, route_pattern, 'calls', 'otel_trace')) AS edge_hash, observation_count, last_observed, CAST(CASE WHEN observation_count > 1000 THEN 0.95 WHEN observation_count >= 100 THEN 0.85 WHEN observation_count >= 10 THEN 0.7 ELSE 0.5 END AS DOUBLE) AS confidence FROM runtime")
+def span_ingest_runtime_edges(spark, d):
+    r = derived.runtime_edges(spark, d)
+    return r.select(identity.edge_hash(F.col("service_name"), F.col("route_pattern"), F.lit("calls"), F.lit("otel_trace")).alias("edge_hash"), "observation_count", "last_observed", identity.confidence_of_count(F.col("observation_count")).alias("confidence"))
