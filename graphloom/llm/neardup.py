@@ -191,9 +191,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     without words are classes of their own; a null doc_id has a null class; doc_id names a document, so repeated
     rows of one id are rows of one class.
 
-    Each band's bucket is linked to its least member, one pair a member; where that leaves a bucket in several
-    components, each member is also held against the other components' least members and, where those are
-    small, against their members, until no link is new.
+    Each band's bucket is compared with its least member, one pair a member. Where that leaves a bucket in several
+    components, buckets of up to SMALL members compare all of them, larger ones further leaders, STARS of them, and
+    then, if at most HEADS components are left, each member with every other's head. So a large bucket costs a few
+    pairs a member. What could be missed is a link of two texts that share only buckets of more than SMALL members,
+    of which neither came to be a leader or head, and that no third text connects.
     """
     signed = common.cut(sign(docs), "signed")
     some = signed.filter("fp1 is not null and doc_id is not null")
@@ -207,19 +209,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     elems = common.cut(elements(common.with_ids(texts, ids, "left_semi")).dropDuplicates(["doc_id"]) if docs_repeat(signed) else elements(common.with_ids(texts, ids, "left_semi")), "elements", "none")
     links = common.cut(verify(pairs, elems), "links")
-    named = components(links) if links.limit(1).count() else None
-    for _ in range(4):
-        rest = _across(members, named)
-        rest = rest.join(pairs, ["u", "v"], "left_anti")
-        rest = common.cut(rest, "rest")
-        if not rest.limit(1).count():
+    named = components(links) if links.limit(1).count() else None  # then contracted as links come
+    for number in range(STARS + 1):
+        rest = _rest(members, named, number)
+        if rest is None:
             break
+        rest = common.cut(rest.join(pairs, ["u", "v"], "left_anti"), "rest")
         pairs = pairs.unionByName(rest)
         more = common.cut(verify(rest, elems), "more")
-        if not more.limit(1).count():
-            break
-        links = links.unionByName(more)
-        named = components(links)
+        if more.limit(1).count():
+            named = _renamed(named, more)
     classes = same.withColumnRenamed("rep", "id")
     if named is not None:
         classes = classes.join(named, "id", "left")
@@ -236,25 +235,60 @@ def docs_repeat(signed: DataFrame) -> bool:
     return bool(signed.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count())
 
 
-#: Members of a component within a bucket up to which each is held against the bucket's other members.
-SMALL = 16
+#: Members of a bucket up to which all its components are compared at once; stars of larger ones; and components of a
+#: larger bucket up to which, after the stars, each member is held against every other component's head.
+SMALL, STARS, HEADS = 8, 5, 16
+
+
+def _comps(rows: DataFrame, named: DataFrame | None, key: str, comp: str) -> DataFrame:
+    """rows with the component of the document in column key."""
+    if named is None:
+        return rows.withColumn(comp, F.col(key))
+    return rows.join(named.select(F.col("id").alias(key), F.col("comp").alias(comp)), key, "left").withColumn(comp, F.coalesce(comp, key))
 
 
-def _across(members: DataFrame, named: DataFrame | None) -> DataFrame:
-    """Pairs (u, v) of a bucket's members in different components that one star can't have compared."""
+def _renamed(named: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after new links: those that the links join are contracted."""
+    joined = _comps(_comps(links, named, "u", "cu"), named, "v", "cv").filter("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct()
+    joined = common.cut(joined, "joined")
+    if not joined.limit(1).count():
+        return named
+    merged = components(joined)
     if named is None:
-        comps = members.withColumn("comp", F.col("doc_id"))
+        return merged
+    old = named.join(merged.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    alone = merged.join(named.select("id"), "id", "left_anti")
+    return common.cut(old.unionByName(alone.select("id", "comp")), "renamed")
+
+
+def _rest(members: DataFrame, named: DataFrame | None, number: int) -> DataFrame | None:
+    """Pairs (u, v) to compare where a bucket's members are still in different components; None if nowhere.
+
+    First, small buckets' components against each other, and of larger ones each member against a leader, another
+    one each time; at last each member against the heads of the other components, where they are few.
+    """
+    comps = common.cut(_comps(members.select("band", "doc_id"), named, "doc_id", "comp"), "comps")
+    order = F.struct(F.xxhash64("doc_id", F.lit(number)).alias("h"), F.col("doc_id").alias("leader"), F.col("comp").alias("head_comp"))
+    split = comps.groupBy("band").agg((F.min("comp") != F.max("comp")).alias("split"), F.count("*").alias("n"), F.min(order).alias("m")).filter("split")
+    split = common.cut(split.select("band", "n", "m.leader", "m.head_comp"), "split")
+    large = split.filter(F.col("n") > SMALL)
+    if not (split if not number else large).limit(1).count():
+        return None
+    within = common.cut(common.join_hot(comps, split, ["band"], "n"), "within")
+    if number < STARS:
+        found = within.filter("n > 2 and comp <> head_comp").select(F.col("doc_id").alias("u"), F.col("leader").alias("v"))
+        if not number:
+            few = within.filter(F.col("n") <= SMALL).select("band", "doc_id", "comp")
+            all_ = few.alias("a").join(few.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.comp") != F.col("b.comp")))
+            found = found.unionByName(all_.select(F.col("b.doc_id").alias("u"), F.col("a.doc_id").alias("v")))
     else:
-        comps = members.join(named.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    comps = common.cut(comps.select("band", "doc_id", "comp", "n"), "comps")
-    split = comps.groupBy("band").agg((F.min("comp") != F.max("comp")).alias("split"), F.count("*").alias("n")).filter("split")
-    split = common.cut(split.select("band", "n"), "split")
-    within = common.cut(common.join_hot(comps.drop("n"), split, ["band"], "n"), "within")
-    heads = within.groupBy("band", "comp").agg(F.min("doc_id").alias("head"), F.count("*").alias("size"))
-    small = within.join(heads.filter(F.col("size") <= SMALL).select("band", "comp"), ["band", "comp"], "left_semi").select("band", F.col("comp").alias("other"), F.col("doc_id").alias("v"))
-    against = small.unionByName(heads.select("band", F.col("comp").alias("other"), F.col("head").alias("v"))).distinct()
-    paired = within.select("band", "comp", F.col("doc_id").alias("u")).join(against, "band").filter("comp <> other")
-    return paired.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        heads = within.filter(F.col("n") > SMALL).groupBy("band", "comp").agg(F.min("doc_id").alias("v"))
+        few = heads.groupBy("band").agg(F.count("*").alias("k")).filter(F.col("k") <= HEADS).select("band")
+        heads = heads.join(few, "band", "left_semi").groupBy("band").agg(F.collect_list(F.struct("comp", "v")).alias("heads"))
+        sized = heads.join(split.select("band", "n"), "band")
+        found = common.join_hot(within.select("band", F.col("doc_id").alias("u"), F.col("comp").alias("own")), sized.select("band", "n", "heads"), ["band"], "n")
+        found = found.select("u", "own", F.explode("heads").alias("h")).filter("h.comp <> own").select("u", F.col("h.v").alias("v"))
+    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
