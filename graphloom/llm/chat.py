@@ -68,8 +68,9 @@ class Hmm:
         groups = np.split(np.arange(N_FEATURES), _AT[1:])
         self.emit = np.zeros((N_FEATURES, len(ROLES)))
         for g in groups:
-            self.emit[g] = np.log((emit[g] + SMOOTH) / (emit[g] + SMOOTH).sum(axis=0))
-        self.emit[1:N_MARKERS] = np.log(np.where(np.eye(len(ROLES)) > 0, 0.98, 0.01))  # what a marker says holds, seen or not
+            pooled = (emit[g].sum(axis=1) + SMOOTH) / (emit[g].sum() + SMOOTH * len(g))
+            self.emit[g] = np.log((emit[g] + SMOOTH * len(g) * pooled[:, None]) / (emit[g].sum(axis=0) + SMOOTH * len(g)))
+        self.emit[1:N_MARKERS] = np.log(np.where(np.eye(len(ROLES)) > 0, 1 - 2e-6, 1e-6))  # what a marker says holds, seen or not
         self.emit[0] = 0.0
         self.start = np.log((start + SMOOTH) / (start + SMOOTH).sum())
         self.between = np.log((change + SMOOTH) / (change + SMOOTH).sum(axis=1, keepdims=True))

@@ -16,6 +16,8 @@ WINDOW, STRIDE = 32, 24
 #: Labelled documents to learn from, about; and windows that one epoch goes through.
 TRAIN_DOCS, EPOCH_WINDOWS, EPOCHS = 6_000, 16_000, 8
 #: Words with an embedding of their own are those of most training documents; the others share one and differ by characters.
+#: Windows of a step, and steps of a training at least.
+BATCH, LEAST_STEPS = 256, 300
 WORD_DROP, DECAY = 0.15, 1e-4
 VOCABULARY, LEAST_DOCS = 20_000, 4
 HIDDEN, WORD_DIM, CHAR_DIM, TRIGRAMS = 8, 8, 6, 4096
@@ -214,6 +216,9 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
     target = toxic.astype(np.float32)[owner]
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     pos, neg = np.flatnonzero(target > 0), np.flatnonzero(target == 0)
+    # few windows make short epochs: as many more of them
+    windows_each = min(len(pos), EPOCH_WINDOWS // 2) + min(len(neg), EPOCH_WINDOWS // 2)
+    epochs = max(epochs, -(-LEAST_STEPS // -(-windows_each // BATCH)))
     done = 0
     for epoch in range(epochs):
         chosen = pos
@@ -228,8 +233,8 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
         b = rng.choice(neg, min(len(neg), half), replace=False)
         batch = rng.permutation(np.concatenate([a, b]))
         scale = np.float32(len(b) / max(1, len(a))) if epoch < 2 else np.float32(min(4.0, len(b) / max(1, len(a))))
-        for at in range(0, len(batch), 256):
-            rows = batch[at : at + 256]
+        for at in range(0, len(batch), BATCH):
+            rows = batch[at : at + BATCH]
             used, local = np.unique(which[rows], return_inverse=True)
             size = first[used + 1] - first[used]
             own = np.zeros(len(used) + 1, np.int64)
