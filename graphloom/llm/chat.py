@@ -69,7 +69,8 @@ class Hmm:
         self.emit = np.zeros((N_FEATURES, len(ROLES)))
         for g in groups:
             pooled = (emit[g].sum(axis=1) + SMOOTH) / (emit[g].sum() + SMOOTH * len(g))
-            self.emit[g] = np.log((emit[g] + SMOOTH * len(g) * pooled[:, None]) / (emit[g].sum(axis=0) + SMOOTH * len(g)))
+            own = (emit[g] + SMOOTH * len(g) * pooled[:, None]) / (emit[g].sum(axis=0) + SMOOTH * len(g))
+            self.emit[g] = np.log(0.95 * own + 0.05 * pooled[:, None])  # what a role never did is unlikely, not excluded
         self.emit[1:N_MARKERS] = np.log(np.where(np.eye(len(ROLES)) > 0, 1 - 2e-6, 1e-6))  # what a marker says holds, seen or not
         self.emit[0] = 0.0
         self.start = np.log((start + SMOOTH) / (start + SMOOTH).sum())
