@@ -98,7 +98,7 @@ def _bands(signature: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, fp1 and fp2 (128 bits of the sequence of words, null without words), bands array<long>, sketch (a byte a value)."""
+    """doc_id, fp1 and fp2 (128 bits of the sequence of words, null without words), bands array<long>."""
     common.tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,17 +108,15 @@ def sign(docs: DataFrame) -> DataFrame:
                 w = common.Words(texts.slice(a, b - a))
                 n = b - a
                 row, key, weight = weighted(*shingles(w))
-                signature = bag_minhash(row, key, weight, n)
-                bands = _bands(signature).view(np.int64)
-                sketch = pa.array([x.tobytes() for x in (common.mix64(signature) >> np.uint64(56)).astype(np.uint8)], pa.binary())
+                bands = _bands(bag_minhash(row, key, weight, n)).view(np.int64)
                 local = (np.arange(len(w.key)) - np.repeat(w.first[:-1], w.counts)).astype(np.uint64)
                 empty = w.counts == 0
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(common.mix64(w.key ^ (local * _ORDER[2])))]), np.concatenate([[np.uint64(0)], np.cumsum(common.mix64(w.key + local * _ORDER[3]))])
                 prints = [pa.array((s[w.first[1:]] - s[w.first[:-1]]).view(np.int64), mask=empty) for s in sums]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), *prints, lists, sketch], ["doc_id", "fp1", "fp2", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), *prints, lists], ["doc_id", "fp1", "fp2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp1 long, fp2 long, bands array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp1 long, fp2 long, bands array<long>")
 
 
 def elements(docs: DataFrame) -> DataFrame:
@@ -195,9 +193,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Each band's bucket is compared with its least member, one pair a member. Where that leaves a bucket in several
     components, buckets of up to SMALL members compare all of them, larger ones another leader, then each member its
-    likeliest partners of other components, and at last all pairs between components whose signatures agree in AGREE
-    places, which a pair at the threshold misses with probability 1e-5. Signatures are held against each other in
-    blocks of BLOCK members, so no task takes a whole bucket.
+    likeliest partners of other components, and at last all pairs between components whose sketches allow for the
+    threshold, which a pair at it misses with probability 2e-5. Sketches are held against each other in blocks of
+    BLOCK members, so no task takes a whole bucket.
     """
     signed = common.cut(sign(docs), "signed")
     some = signed.filter("fp1 is not null and doc_id is not null")
@@ -212,7 +210,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     elems = common.cut(elements(common.with_ids(texts, ids, "left_semi")).dropDuplicates(["doc_id"]) if docs_repeat(signed) else elements(common.with_ids(texts, ids, "left_semi")), "elements", "none")
     links = common.cut(verify(pairs, elems), "links")
     named = components(links) if links.limit(1).count() else None  # then contracted as links come
-    sketches = common.cut(reps.select("doc_id", "sketch").dropDuplicates(["doc_id"]), "sketches")
+    sketches = common.cut(sketched(elems), "sketches")
     for number in range(LAST + 1):
         rest = _rest(members, named, number, sketches)
         if rest is None:
@@ -238,42 +236,81 @@ def docs_repeat(signed: DataFrame) -> bool:
     return bool(signed.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").limit(1).count())
 
 
-#: Members of a bucket up to which all its components are compared at once; members of a block; and equal places of
-#: two signatures from which a pair is compared: of 120, a pair at 0.8 agrees in 96 on average, in fewer than 76 with
-#: probability 1e-5. Rounds 1 to LAST - 1 take each member's likeliest partners, round LAST all that are left.
-SMALL, BLOCK, AGREE, LAST = 8, 256, 76, 3
+#: Members of a bucket up to which all its components are compared at once; members of a block; and bins of a sketch,
+#: of which the first FEW are looked at first. Rounds 1 to LAST - 1 take each member's likeliest partners, round LAST
+#: all that are left.
+SMALL, BLOCK, BINS, FEW, LAST = 8, 256, 1024, 128, 2
+#: Standard deviations by which a sketch may fall short of the threshold: a chance of 1e-5 a look.
+MARGIN = 4.3
 
 
-def alike(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """In how many places each row of left agrees with each row of right."""
-    out = np.zeros((len(left), len(right)), np.uint8)
-    for a, b in zip(left.T, right.T, strict=True):
-        out += a[:, None] == b[None]
+def sketched(elems: DataFrame) -> DataFrame:
+    """doc_id, size (how many elements) and sketch: the elements fall into BINS bins, a byte each for the least of a bin's, 0 for an empty bin.
+
+    The share of equal bytes among bins not empty in both estimates the similarity of two documents. The least ones of
+    the bins are a sample without replacement of the union: the more bins it fills, the surer.
+    """
+    shift = np.uint32(32 - BINS.bit_length() + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, size = [], []
+            for x in batch.column(1):
+                key, sketch = np.frombuffer(x.as_py(), "<u4"), np.zeros(BINS, np.uint8)
+                bins, first = np.unique(key >> shift, return_index=True)
+                sketch[bins] = 1 + common.mix64(key[first].astype(np.uint64)) % np.uint64(255)
+                out.append(sketch.tobytes())
+                size.append(len(key))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "size", "sketch"])
+
+    return elems.mapInArrow(run, "doc_id long, size long, sketch binary")
+
+
+def _allowed(same: np.ndarray, bins: np.ndarray, left: np.ndarray | None = None, right: np.ndarray | None = None, least: float = SIMILARITY) -> np.ndarray:
+    """Whether so many equal bins are not too few for two documents at the threshold; their sizes bound the union."""
+    spread = least * (1 - least) * bins
+    if left is not None:
+        spread = spread * np.maximum(0, 1 - bins * (1 + least) / np.maximum(left + right, 1))
+    return same >= least * bins - MARGIN * np.sqrt(spread) - 1
+
+
+def alike(left: np.ndarray, right: np.ndarray, differ: np.ndarray, sizes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Estimated similarity of each row of left to each of right; 0 where `differ` is false or it is surely too low."""
+    few, same = slice(0, FEW), np.zeros(differ.shape, np.float32)
+    for a, b in zip(left[:, few].T, right[:, few].T, strict=True):
+        same += a[:, None] == b[None]
+    empty = (left[:, few] == 0).astype(np.float32) @ (right[:, few] == 0).astype(np.float32).T
+    near = SIMILARITY * np.maximum(sizes[0][:, None], sizes[1][None]) <= np.minimum(sizes[0][:, None], sizes[1][None]) + 1e-6
+    a, b = np.nonzero(differ & near & _allowed(same - empty, FEW - empty))
+    out = np.zeros(differ.shape, np.float32)
+    for k in range(0, len(a), 4096):
+        i, j = a[k : k + 4096], b[k : k + 4096]
+        x, y = left[i], right[j]
+        bins = ((x | y) != 0).sum(axis=1)
+        equal = ((x == y) & (x != 0)).sum(axis=1)
+        out[i, j] = np.where(_allowed(equal, bins, sizes[0][i], sizes[1][j]), np.maximum(equal, 1e-3) / np.maximum(bins, 1), 0)
     return out
 
 
 def _blocks(within: DataFrame, sketches: DataFrame, best: bool) -> DataFrame:
-    """Pairs (u, v) of different components of a bucket whose signatures agree enough; or only each member's best ones.
+    """Pairs (u, v) of different components of a bucket whose sketches allow for a link; or only each member's best ones.
 
     Members are dealt to blocks by hash; each two blocks, and each block with itself, are one group of up to about
     two blocks.
     """
 
     def run(group: pa.Table) -> pa.Table:
-        ids, comp, side = (group.column(c).to_numpy() for c in ("doc_id", "comp", "own"))
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(ids), SIGNATURE)
-        first = group.column("i")[0].as_py() == group.column("j")[0].as_py()
-        x = np.flatnonzero(side == group.column("i")[0].as_py())
-        y = x if first else np.flatnonzero(side == group.column("j")[0].as_py())
-        same = alike(sketch[x], sketch[y])
-        same[(comp[x][:, None] == comp[y][None]) | (same < AGREE)] = 0
-        if best and same.size:
-            a = np.concatenate([np.arange(len(x)), same.argmax(axis=0)])
-            b = np.concatenate([same.argmax(axis=1), np.arange(len(y))])
-            some = same[a, b] > 0
+        ids, comp, side, size = (group.column(c).to_numpy() for c in ("doc_id", "comp", "own", "size"))
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(ids), BINS)
+        x, y = (np.flatnonzero(side == group.column(c)[0].as_py()) for c in ("i", "j"))
+        est = alike(sketch[x], sketch[y], comp[x][:, None] != comp[y][None], (size[x], size[y]))
+        if best and est.size:
+            a = np.concatenate([np.arange(len(x)), est.argmax(axis=0)])
+            b = np.concatenate([est.argmax(axis=1), np.arange(len(y))])
+            some = est[a, b] > 0
             a, b = a[some], b[some]
         else:
-            a, b = np.nonzero(same)
+            a, b = np.nonzero(est)
         u, v = ids[x[a]], ids[y[b]]
         pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1)
         return pa.table({"u": pa.array(pairs[0], pa.int64()), "v": pa.array(pairs[1], pa.int64())})
@@ -281,7 +318,7 @@ def _blocks(within: DataFrame, sketches: DataFrame, best: bool) -> DataFrame:
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = within.select("band", "doc_id", "comp", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id", F.lit("block")), blocks).cast("int").alias("own"))
     rows = rows.join(sketches, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "comp", "sketch")
+    rows = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "comp", "size", "sketch")
     return rows.groupBy("band", "i", "j").applyInArrow(run, "u long, v long")
 
 
@@ -310,7 +347,7 @@ def _rest(members: DataFrame, named: DataFrame | None, number: int, sketches: Da
     """Pairs (u, v) to compare where a bucket's members are still in different components; None if nowhere.
 
     First, small buckets' components against each other, and of larger ones each member against a leader; then
-    pairs whose signatures agree, at last all of them.
+    pairs whose sketches are alike, at last all of them.
     """
     comps = common.cut(_comps(members.select("band", "doc_id"), named, "doc_id", "comp"), "comps")
     order = F.struct(F.xxhash64("doc_id", F.lit(number)).alias("h"), F.col("doc_id").alias("leader"), F.col("comp").alias("head_comp"))

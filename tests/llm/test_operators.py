@@ -294,3 +294,48 @@ def test_chat(spark):
     marked = next(r for r in got if r["conv_id"] == 50)
     assert marked["rendered"] == "<|user|>\nhello\n<|end|>\n<|assistant|>\nhi there\n<|end|>\n"
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_sketches_keep_links():
+    rng = np.random.default_rng(4)
+    for size in (1, 9, 60, 700, 5000):
+        base = rng.integers(0, 1 << 32, size, dtype=np.uint32)
+        many = []
+        for k in range(30):
+            x = base.copy()
+            some = rng.random(size) < k / 100
+            x[some] = rng.integers(0, 1 << 32, int(some.sum()), dtype=np.uint32)
+            many.append(np.unique(x).astype("<u4"))
+        rows = list(neardup.sketched(_Batches([x.tobytes() for x in many])))
+        sketch = np.stack([np.frombuffer(x, np.uint8) for x in rows[0].column(2).to_pylist()])
+        n = rows[0].column(1).to_numpy()
+        est = neardup.alike(sketch, sketch, ~np.eye(30, dtype=bool), (n, n))
+        for i in range(30):
+            for j in range(30):
+                if i != j and neardup.similarity(many[i].tobytes(), many[j].tobytes()) >= neardup.SIMILARITY:
+                    assert est[i, j] > 0
+        assert not np.diag(est).any()
+
+
+class _Batches:
+    """Stands for a DataFrame of elements: runs what mapInArrow is given."""
+
+    def __init__(self, elements):
+        self.batch = pa.RecordBatch.from_arrays([pa.array(range(len(elements))), pa.array(elements, pa.binary())], ["doc_id", "elements"])
+
+    def mapInArrow(self, run, schema):
+        return run(iter([self.batch]))
+
+
+def test_neardup_large_bucket_of_many_components(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rng = random.Random(8)
+    passage, rows = [f"p{k}" for k in range(90)], []
+    for _ in range(25):
+        own = [f"q{rng.randrange(99999)}" for _ in range(32)]
+        for _ in range(2):
+            copy = passage + own
+            copy[rng.randrange(95, 122)] = f"n{rng.randrange(99999)}"
+            rows.append((len(rows), " ".join(copy)))
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
