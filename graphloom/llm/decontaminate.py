@@ -226,9 +226,14 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_items") >= 2).alias("contaminated"))
 
 
+#: Words of a whole window: with so many hit, one item is enough for the pipeline, since items are copied one by one.
+LEAST_HIT = 8
+LEAKED = f"n_items >= 2 or n_hit >= {LEAST_HIT}"
+
+
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents in which windows of two or more benchmark items occur go."""
-    found = common.cut(find(docs, common.table(spark, sf_dir, "benchmark")).filter("n_items >= 2").select("doc_id"), "leaks").distinct()
+    """Pipeline stage: documents in which windows of two benchmark items occur, or LEAST_HIT words of windows, go."""
+    found = common.cut(find(docs, common.table(spark, sf_dir, "benchmark")).filter(LEAKED).select("doc_id"), "leaks").distinct()
     return common.with_ids(docs, found, "left_anti").select(*docs.columns)
 
 
