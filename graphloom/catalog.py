@@ -282,6 +282,13 @@ def interface_hints(spark, d):
     return h.join(i, "t").select("source", "target").distinct()
 
 
+@query("WITH h AS (SELECT DISTINCT l_orderkey AS f, l_partkey AS t FROM lineitem), i AS (SELECT DISTINCT l_suppkey AS impl, l_partkey AS t FROM lineitem) SELECT DISTINCT f AS source, impl AS target FROM h JOIN i USING (t)")
+def interface_hints_whole(spark, d):
+    """All sources and targets; interface_hints is fixed by its SQL to ids below 20."""
+    li = table(spark, d, "lineitem")
+    return rel.interface_hints(li.select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("t")), li.select(F.col("l_suppkey").alias("target"), F.col("l_partkey").alias("t")))
+
+
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY test ORDER BY target) AS k FROM (SELECT DISTINCT l_orderkey AS test, l_partkey AS target FROM lineitem)), q AS (SELECT * FROM r WHERE k <= 20),
 p AS (SELECT x.test, x.target AS a, y.target AS b, row_number() OVER (PARTITION BY x.test ORDER BY x.target, y.target) AS j FROM q x JOIN q y ON x.test = y.test AND x.k < y.k) SELECT DISTINCT a, b FROM p WHERE j <= 20""")
 def co_tested_pairs(spark, d):

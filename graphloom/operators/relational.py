@@ -154,6 +154,11 @@ def contains_edges(nodes: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return down.unionByName(found.select(F.col("node_hash").alias("source_hash"), F.col("p").alias("target_hash"), F.lit("member_of").alias("edge_type")))
 
 
+def interface_hints(hints: DataFrame, implements: DataFrame) -> DataFrame:
+    """(source, target): hints (source, t) of an interface reach each of its implementors (target, t), each pair once."""
+    return hints.distinct().join(implements.distinct(), "t").select("source", "target").distinct()
+
+
 def co_tested(tests: DataFrame, most: int = 20) -> DataFrame:
     """Pairs of targets (a < b) of one test, of its first `most` targets and pairs, each pair once."""
     ranked = tests.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("test").orderBy("target"))).filter(F.col("rank") <= most)
