@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from graphloom.operators import iterative as it
 from graphloom.operators import merkle, retrieval
 from graphloom.operators import relational as rel
 from graphloom.plans import derived
-from graphloom.plans.derived import RUNTIME_SQL, USER_SQL, graph_sql, table
+from graphloom.plans.derived import NEXT_USER_SQL, RUNTIME_SQL, RUNTIME_WHOLE_SQL, USER_SQL, graph_sql, table
 from graphloom.plans.lineage import cut
 
 #: The queries' present: a fixed second after all events.
@@ -158,8 +159,8 @@ def hotspots(spark, d):
 
 
 @query(f"WITH {RUNTIME_SQL} SELECT * FROM runtime WHERE service_name = 'svc3' AND route_pattern LIKE '/u/1%'")
-def runtime_edges_by_service(spark, d):
-    return rel.runtime_by_service(derived.runtime_edges(spark, d), "svc3", "/u/1%")
+def runtime_edges_by_service(spark, d, runtime=derived.runtime_edges):
+    return rel.runtime_by_service(runtime(spark, d), "svc3", "/u/1%")
 
 
 ROUTES_SQL = "routes AS (SELECT 'svc' || (range % 20) AS service_name, '/u/' || range || '/click' AS route_pattern FROM range(260))"
@@ -174,26 +175,26 @@ def _middle(runtime: str) -> str:
 
 
 @query(f"WITH {RUNTIME_SQL}, {ROUTES_SQL} SELECT DISTINCT service_name, route_pattern FROM routes LEFT JOIN runtime USING (service_name, route_pattern) WHERE last_observed IS NULL OR last_observed < {NOW - 30 * 86400}")
-def dead_routes(spark, d):
-    return rel.dead_routes(_routes(spark), derived.runtime_edges(spark, d), NOW - 30 * 86400)
+def dead_routes(spark, d, runtime=derived.runtime_edges):
+    return rel.dead_routes(_routes(spark), runtime(spark, d), NOW - 30 * 86400)
 
 
 AGE = f"(({NOW} - last_observed) / 86400.0)"
 
 
 @query(f"WITH {RUNTIME_SQL} SELECT count(*) AS total, count(*) FILTER ({AGE} <= 7) AS active, count(*) FILTER ({AGE} > 30) AS stale, count(*) FILTER ({AGE} > 90) AS collectable FROM runtime")
-def runtime_stats_buckets(spark, d):
-    return rel.runtime_stats(derived.runtime_edges(spark, d), NOW)
+def runtime_stats_buckets(spark, d, runtime=derived.runtime_edges):
+    return rel.runtime_stats(runtime(spark, d), NOW)
 
 
 @query(f"WITH {RUNTIME_SQL} SELECT CASE WHEN {AGE} <= 7 THEN 'active' WHEN {AGE} <= 30 THEN 'aging' WHEN {AGE} <= 90 THEN 'stale' ELSE 'collectable' END AS bucket, count(*) AS n FROM runtime GROUP BY 1")
-def trace_stats_exclusive(spark, d):
-    return rel.trace_stats(derived.runtime_edges(spark, d), NOW)
+def trace_stats_exclusive(spark, d, runtime=derived.runtime_edges):
+    return rel.trace_stats(runtime(spark, d), NOW)
 
 
 @query(f"WITH {RUNTIME_SQL} SELECT service_name, route_pattern, CAST(CASE WHEN {AGE} > 90 THEN 0.0 WHEN {AGE} > 30 THEN 0.2 WHEN observation_count > 1000 THEN 0.95 WHEN observation_count >= 100 THEN 0.85 WHEN observation_count >= 10 THEN 0.7 WHEN observation_count >= 1 THEN 0.5 ELSE 0.2 END AS DOUBLE) AS confidence FROM runtime")
-def confidence_decay(spark, d):
-    return rel.decay_confidence(derived.runtime_edges(spark, d), NOW).select("service_name", "route_pattern", "confidence")
+def confidence_decay(spark, d, runtime=derived.runtime_edges):
+    return rel.decay_confidence(runtime(spark, d), NOW).select("service_name", "route_pattern", "confidence")
 
 
 FEEDBACK_SQL = "fb AS (SELECT event_type || (user_id % 40) AS symbol_hash, 's' || (user_id % 7) AS session_id, CAST(value > 50 AS INT) AS useful, event_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events)"
@@ -415,7 +416,28 @@ def lpa_sync(spark, d):
 
 @query()
 def louvain(spark, d):
-    return it.louvain(derived.user_edges(spark, d))
+    return it.louvain(derived.next_user_edges(spark, d))
+
+
+# the same over all users; the four above but louvain fold them by their SQL
+@query()
+def rwr_whole(spark, d):
+    return it.random_walk(derived.next_user_edges(spark, d), spark.range(4).select(F.col("id").alias("node"), F.lit(0.25).alias("s")))
+
+
+@query()
+def hits_whole(spark, d):
+    return it.hits(derived.next_user_edges(spark, d))
+
+
+@query()
+def lpa_whole(spark, d):
+    return it.label_propagation(derived.next_user_edges(spark, d))
+
+
+@query(f"WITH {NEXT_USER_SQL} SELECT u, v, w FROM ue")
+def next_user_edges(spark, d):
+    return derived.next_user_edges(spark, d)
 
 
 @query(f"WITH RECURSIVE {SNAP}, c AS (SELECT sha256('s399') AS snapshot_hash, 0 AS \"at\" UNION ALL SELECT parent_hash, \"at\" + 1 FROM c JOIN snaps USING (snapshot_hash) WHERE parent_hash IS NOT NULL) SELECT snapshot_hash, \"at\" FROM c WHERE snapshot_hash IN (SELECT snapshot_hash FROM snaps)")
@@ -569,6 +591,12 @@ def supply_chain_verdict(spark, d):
 
 
 @query(f"WITH {RUNTIME_SQL} SELECT sha256(concat_ws(chr(0), 'edge', service_name, route_pattern, 'calls', 'otel_trace')) AS edge_hash, observation_count, last_observed, CAST(CASE WHEN observation_count > 1000 THEN 0.95 WHEN observation_count >= 100 THEN 0.85 WHEN observation_count >= 10 THEN 0.7 ELSE 0.5 END AS DOUBLE) AS confidence FROM runtime")
-def span_ingest_runtime_edges(spark, d):
-    r = derived.runtime_edges(spark, d)
+def span_ingest_runtime_edges(spark, d, runtime=derived.runtime_edges):
+    r = runtime(spark, d)
     return r.select(identity.edge_hash(F.col("service_name"), F.col("route_pattern"), F.lit("calls"), F.lit("otel_trace")).alias("edge_hash"), "observation_count", "last_observed", identity.confidence_of_count(F.col("observation_count")).alias("confidence"))
+
+
+# the runtime queries over all users' routes; those above fold them by their SQL
+for _f in (runtime_edges_by_service, dead_routes, runtime_stats_buckets, trace_stats_exclusive, confidence_decay, span_ingest_runtime_edges):
+    QUERIES[f"{_f.__name__}_whole"] = functools.partial(_f, runtime=derived.runtime_edges_whole)
+    SQL[f"{_f.__name__}_whole"] = SQL[_f.__name__].replace(RUNTIME_SQL, RUNTIME_WHOLE_SQL)

@@ -6,8 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphloom.functions import identity
+from graphloom.plans.lineage import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,6 +106,31 @@ def user_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select((F.col("user_id") % 500).alias("u"), ((F.col("user_id") * 31 + F.col("event_id")) % 500).alias("v")).filter("u <> v").groupBy("u", "v").agg(F.count("*").cast("double").alias("w"))
 
 
+def runtime_edges_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runtime edges with a route for each user and event type; runtime_edges folds users to 200 routes, as its SQL does."""
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("user_id", "event_type").agg(F.count("*").alias("observation_count"), F.max(seconds("ts")).alias("last_observed")).select(
+        F.concat(F.lit("svc"), (F.col("user_id") % 20).cast("string")).alias("service_name"), F.concat(F.lit("/u/"), F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("route_pattern"), "observation_count", "last_observed"
+    )
+
+
+def next_user_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cyclic graph of all users: each event's user u to the next event's v by (ts, event_id), w the number of times.
+
+    Rows are dealt by ranges and written, so that a range's place is fixed; only each range's first user is looked up in
+    the range before it.
+    """
+    order = ["ts", "event_id", "user_id"]
+    rows = table(spark, sf_dir, "events").select(*order).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    rows = cut(rows, "events")
+    heads = rows.groupBy("part").agg(F.min_by("user_id", F.struct(*order)).alias("head"))
+    heads = heads.select("part", F.lead("head").over(Window.orderBy("part")).alias("head"))
+    here = Window.partitionBy("part").orderBy(*order)
+    rows = rows.select("part", F.col("user_id").alias("u"), F.lead("user_id").over(here).alias("v"), F.lead(F.lit(True)).over(here).isNull().alias("last"))
+    pairs = rows.join(F.broadcast(heads), "part").select("u", F.when(F.col("last"), F.col("head")).otherwise(F.col("v")).alias("v"))
+    return pairs.filter("u is not null and v is not null").groupBy("u", "v").agg(F.count("*").cast("double").alias("w"))
+
+
 # ---------------------------------------------------------------- the same in DuckDB's SQL
 
 
@@ -132,3 +159,5 @@ edges AS (SELECT *, sha256(concat_ws(chr(0), 'edge', source_hash, target_hash, e
 
 RUNTIME_SQL = "runtime AS (SELECT 'svc' || (user_id % 20) AS service_name, '/u/' || (user_id % 200) || '/' || event_type AS route_pattern, count(*) AS observation_count, max(CAST(floor(epoch(ts)) AS BIGINT)) AS last_observed FROM events GROUP BY ALL)"
 USER_SQL = "ue AS (SELECT user_id % 500 AS u, (user_id * 31 + event_id) % 500 AS v, CAST(count(*) AS DOUBLE) AS w FROM events WHERE user_id % 500 <> (user_id * 31 + event_id) % 500 GROUP BY ALL)"
+RUNTIME_WHOLE_SQL = "runtime AS (SELECT 'svc' || (user_id % 20) AS service_name, '/u/' || user_id || '/' || event_type AS route_pattern, count(*) AS observation_count, max(CAST(floor(epoch(ts)) AS BIGINT)) AS last_observed FROM events GROUP BY user_id, event_type)"
+NEXT_USER_SQL = "ue AS (SELECT u, v, CAST(count(*) AS DOUBLE) AS w FROM (SELECT user_id AS u, lead(user_id) OVER (ORDER BY ts, event_id) AS v FROM events) WHERE v IS NOT NULL GROUP BY ALL)"

@@ -1,6 +1,13 @@
 """Queries on whole inputs: no ids folded or left out, the reference's rounds and stopping rules."""
 
+import datetime
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 from graphloom import catalog
+from graphloom.operators import iterative
+from graphloom.plans import derived
 
 
 def test_interface_hints_keep_all_ids(spark, tmp_path):
@@ -8,3 +15,27 @@ def test_interface_hints_keep_all_ids(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     want = sorted({(a, c) for a, b, _ in rows for _, t, c in rows if b == t})
     assert sorted(map(tuple, catalog.QUERIES["interface_hints_whole"](spark, str(tmp_path)).collect())) == want
+
+
+def _events(spark, path, users):
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(k, start + datetime.timedelta(seconds=k // 3), u, "click" if k % 2 else "view") for k, u in enumerate(users)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").repartition(5, F.rand(1)).write.parquet(f"{path}/events.parquet")
+    return rows
+
+
+def test_user_graph_keeps_all_users(spark, tmp_path):
+    users = [k * k % 1201 for k in range(3000)] + [3, 503, 1003]
+    _events(spark, tmp_path, users)
+    want = sorted((u, v, float(n)) for (u, v), n in Counter(zip(users, users[1:])).items())
+    assert sorted(map(tuple, derived.next_user_edges(spark, str(tmp_path)).collect())) == want
+    got = {r["node"]: r["community"] for r in catalog.QUERIES["louvain"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(users) and {503, 1003} <= set(got)
+    assert set(got) == {r["node"] for r in catalog.QUERIES["hits_whole"](spark, str(tmp_path)).collect()}
+
+
+def test_runtime_edges_keep_all_users(spark, tmp_path):
+    rows = _events(spark, tmp_path, [k % 450 for k in range(2000)])
+    want = Counter((f"svc{u % 20}", f"/u/{u}/{kind}") for _, _, u, kind in rows)
+    assert {tuple(r)[:2]: r[2] for r in derived.runtime_edges_whole(spark, str(tmp_path)).collect()} == want
+    assert catalog.QUERIES["span_ingest_runtime_edges_whole"](spark, str(tmp_path)).count() == len(want)
