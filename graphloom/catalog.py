@@ -369,6 +369,12 @@ def bfs_distance(spark, d):
     return it.distances(derived.edges(spark, d, ("calls", "references")), seeds, 3)
 
 
+@query(SQL["bfs_distance"].replace("depth < 3", "depth < 4"))
+def bfs_distance_whole(spark, d):
+    seeds = derived.nodes(spark, d).filter("name in ('C3', 'S2')").select(F.col("node_hash").alias("start"))
+    return it.distances(derived.edges(spark, d, ("calls", "references")), seeds, 4)
+
+
 @query(f"{UP} SELECT start, count(DISTINCT node) AS callers, CASE WHEN count(DISTINCT node) > 20 THEN 'high' WHEN count(DISTINCT node) > 5 THEN 'medium' ELSE 'low' END AS risk FROM up GROUP BY 1")
 def pr_impact_risk(spark, d):
     g = it.closure(derived.edges(spark, d, ("calls",)), _seed(spark, d), 5, reverse=True).groupBy("start").agg(F.countDistinct("node").alias("callers"))
@@ -390,11 +396,11 @@ def rwr_fixed_iters(spark, d):
     return it.random_walk(derived.user_edges(spark, d), spark.range(4).select(F.col("id").alias("node"), F.lit(0.25).alias("s")))
 
 
-def _hits_sql(rounds: int = 5) -> str:
+def _hits_sql(rounds: int = 5, users: str = USER_SQL) -> str:
     steps = ["h0 AS (SELECT node, CAST(1 AS DOUBLE) AS x FROM ns)"]
     for k in range(1, rounds + 1):
         steps += [f"ra{k} AS (SELECT v AS node, sum(x) AS x FROM ue JOIN h{k - 1} ON u = node GROUP BY 1)", f"a{k} AS (SELECT node, x / sqrt(sum(x * x) OVER ()) AS x FROM ra{k})", f"rh{k} AS (SELECT u AS node, sum(x) AS x FROM ue JOIN a{k} ON v = node GROUP BY 1)", f"h{k} AS (SELECT node, x / sqrt(sum(x * x) OVER ()) AS x FROM rh{k})"]
-    return f"WITH {USER_SQL}, ns AS (SELECT u AS node FROM ue UNION SELECT v FROM ue), {', '.join(steps)} SELECT node, round(coalesce(a{rounds}.x, 0), 6) AS authority, round(coalesce(h{rounds}.x, 0), 6) AS hub FROM ns LEFT JOIN a{rounds} USING (node) LEFT JOIN h{rounds} USING (node)"
+    return f"WITH {users}, ns AS (SELECT u AS node FROM ue UNION SELECT v FROM ue), {', '.join(steps)} SELECT node, round(coalesce(a{rounds}.x, 0), 6) AS authority, round(coalesce(h{rounds}.x, 0), 6) AS hub FROM ns LEFT JOIN a{rounds} USING (node) LEFT JOIN h{rounds} USING (node)"
 
 
 @query(_hits_sql())
@@ -419,20 +425,20 @@ def louvain(spark, d):
     return it.louvain(derived.next_user_edges(spark, d))
 
 
-# the same over all users; the four above but louvain fold them by their SQL
+# the same over all users and with the reference's rounds and stops; the SQL of the four above but louvain has fewer
 @query()
 def rwr_whole(spark, d):
-    return it.random_walk(derived.next_user_edges(spark, d), spark.range(4).select(F.col("id").alias("node"), F.lit(0.25).alias("s")))
+    return it.random_walk(derived.next_user_edges(spark, d), spark.range(4).select(F.col("id").alias("node"), F.lit(0.25).alias("s")), 20, settled=1e-3)
 
 
-@query()
+@query(_hits_sql(10, NEXT_USER_SQL))
 def hits_whole(spark, d):
-    return it.hits(derived.next_user_edges(spark, d))
+    return it.hits(derived.next_user_edges(spark, d), 10)
 
 
 @query()
 def lpa_whole(spark, d):
-    return it.label_propagation(derived.next_user_edges(spark, d))
+    return it.label_propagation(derived.next_user_edges(spark, d), 50, stable=True)
 
 
 @query(f"WITH {NEXT_USER_SQL} SELECT u, v, w FROM ue")

@@ -78,20 +78,32 @@ def paths(edges: DataFrame, source: str, target: str, depth: int = 5, most: int
     return out.orderBy("hops", "path").limit(most)
 
 
-def random_walk(edges: DataFrame, seeds: DataFrame, rounds: int = 5, alpha: float = 0.2) -> DataFrame:
+def random_walk(edges: DataFrame, seeds: DataFrame, rounds: int = 5, alpha: float = 0.2, settled: float | None = None) -> DataFrame:
     """Random walk with restart over undirected weighted edges (u, v, w); seeds: node, s summing to 1.
 
-    A node without weight gives its mass to the seeds; scores are divided by the largest.
+    A node without weight gives its mass to the seeds; scores are divided by the largest. With `settled` the walk ends
+    before `rounds` once a round moves less mass than that, or once the ten best have twice come out in the same order.
     """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")).groupBy("u", "v").agg(F.sum("w").alias("w"))
     total = both.groupBy("u").agg(F.sum("w").alias("total")).filter("total > 0")
     share = cut(both.join(total, "u").select(F.col("u").alias("node"), F.col("v").alias("next"), (F.col("w") / F.col("total")).alias("share")), "share")
     p = seeds.select("node", F.col("s").alias("p"))
+    best, same = None, 0
     for _ in range(rounds):
         moved = p.join(share, "node").groupBy(F.col("next").alias("node")).agg((F.sum(F.col("p") * F.col("share")) * (1 - alpha)).alias("p"))
         lost = p.join(share.select("node").distinct(), "node", "left_anti").agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("lost"))
         back = seeds.join(F.broadcast(lost)).select("node", (F.col("s") * (alpha + (1 - alpha) * F.col("lost"))).alias("p"))
-        p = cut(moved.unionByName(back).groupBy("node").agg(F.sum("p").alias("p")), "walk")
+        former, p = p, cut(moved.unionByName(back).groupBy("node").agg(F.sum("p").alias("p")), "walk")
+        if settled is None:
+            continue
+        gap = F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0)))
+        if p.join(former.select("node", F.col("p").alias("q")), "node", "full").agg(F.sum(gap)).first()[0] < settled:
+            break
+        top = [r["node"] for r in p.orderBy(F.desc(F.round("p", 12)), "node").limit(10).collect()]
+        same = same + 1 if top == best else 0
+        if same >= 2:
+            break
+        best = top
     return p.join(F.broadcast(p.agg(F.max("p").alias("top")))).select("node", F.round(F.col("p") / F.col("top"), 6).alias("score"))
 
 
@@ -112,13 +124,18 @@ def hits(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return nodes.join(auth.withColumnRenamed("x", "authority"), "node", "left").join(hub.withColumnRenamed("x", "hub"), "node", "left").select("node", F.round(F.coalesce("authority", zero), 6).alias("authority"), F.round(F.coalesce("hub", zero), 6).alias("hub"))
 
 
-def label_propagation(edges: DataFrame, rounds: int = 3) -> DataFrame:
-    """Synchronous: each node takes the label of most weight among its neighbours, ties to the least."""
+def label_propagation(edges: DataFrame, rounds: int = 3, stable: bool = False) -> DataFrame:
+    """Synchronous: each node takes the label of most weight among its neighbours, ties to the least.
+
+    With `stable` it ends before `rounds` once no label changes.
+    """
     both = cut(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")).groupBy("u", "v").agg(F.sum("w").alias("w")), "both")
     labels = both.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct()
     for _ in range(rounds):
         votes = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u", "label").agg(F.sum("w").alias("w"))
-        labels = cut(votes.groupBy(F.col("u").alias("node")).agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("label")), "labels")
+        former, labels = labels, cut(votes.groupBy(F.col("u").alias("node")).agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("label")), "labels")
+        if stable and labels.exceptAll(former).isEmpty():
+            break
     return labels
 
 

@@ -1,12 +1,16 @@
 """Queries on whole inputs: no ids folded or left out, the reference's rounds and stopping rules."""
 
 import datetime
-from collections import Counter
+import random
+from collections import Counter, defaultdict
+
+import pytest
 
 from pyspark.sql import functions as F
 
 from graphloom import catalog
 from graphloom.operators import iterative
+from graphloom.operators import iterative
 from graphloom.plans import derived
 
 
@@ -39,3 +43,76 @@ def test_runtime_edges_keep_all_users(spark, tmp_path):
     want = Counter((f"svc{u % 20}", f"/u/{u}/{kind}") for _, _, u, kind in rows)
     assert {tuple(r)[:2]: r[2] for r in derived.runtime_edges_whole(spark, str(tmp_path)).collect()} == want
     assert catalog.QUERIES["span_ingest_runtime_edges_whole"](spark, str(tmp_path)).count() == len(want)
+
+
+def _chain(n):
+    """A long path with light shortcuts: far from settled after three or five rounds."""
+    rng = random.Random(4)
+    return [(k, k + 1, 3.0 + k % 4) for k in range(n)] + [(rng.randrange(n), rng.randrange(n), 1.0) for _ in range(n // 4)]
+
+
+def _both(rows):
+    near = defaultdict(Counter)
+    for u, v, w in rows:
+        near[u][v] += w
+        near[v][u] += w
+    return near
+
+
+def _walk(near, seeds, rounds=20):
+    p, best, same = dict(seeds), None, 0
+    for k in range(1, rounds + 1):
+        q = {s: 0.2 * w for s, w in seeds.items()}
+        for u, x in p.items():
+            total = sum(near[u].values())
+            for v, w in near[u].items():
+                q[v] = q.get(v, 0.0) + 0.8 * x * w / total
+        delta = sum(abs(q.get(u, 0.0) - p.get(u, 0.0)) for u in {*p, *q})
+        p = q
+        if delta < 1e-3:
+            break
+        top = sorted(p, key=lambda u: (-round(p[u], 12), u))[:10]
+        same = same + 1 if top == best else 0
+        if same >= 2:
+            break
+        best = top
+    return k, {u: x / max(p.values()) for u, x in p.items()}
+
+
+@pytest.mark.parametrize("n", [3, 14, 40])
+def test_walk_ends_when_settled(spark, monkeypatch, n):
+    rows, rounds = _chain(n), []
+    cut = iterative.cut
+    monkeypatch.setattr(iterative, "cut", lambda df, name="t": (rounds.append(name), cut(df, name))[1])
+    seeds = spark.createDataFrame([(0, 0.5), (1, 0.5)], "node long, s double")
+    got = {r["node"]: r["score"] for r in iterative.random_walk(spark.createDataFrame(rows, "u long, v long, w double"), seeds, 20, settled=1e-3).collect()}
+    k, want = _walk(_both(rows), {0: 0.5, 1: 0.5})
+    assert rounds.count("walk") == k and got == pytest.approx(want, abs=2e-6)
+
+
+def test_labels_until_stable(spark):
+    rows = _chain(40)
+    near, label, rounds = _both(rows), {}, 0
+    label = {u: u for u in near}
+    while rounds < 50:
+        votes = {u: Counter() for u in near}
+        for u in near:
+            for v, w in near[u].items():
+                votes[u][label[v]] += w
+        new = {u: min(c, key=lambda x: (-c[x], x)) for u, c in votes.items()}
+        rounds += 1
+        if new == label:
+            break
+        label = new
+    edges = spark.createDataFrame(rows, "u long, v long, w double")
+    assert rounds > 4
+    assert {r["node"]: r["label"] for r in iterative.label_propagation(edges, 50, stable=True).collect()} == label
+
+
+def test_registered_rounds(spark, tables, monkeypatch):
+    calls = []
+    for name in ("distances", "random_walk", "hits", "label_propagation"):
+        monkeypatch.setattr(iterative, name, lambda *a, _n=name, **b: calls.append((_n, *a[1 + (_n in ("distances", "random_walk")) :], b)))
+    for name in ("bfs_distance_whole", "rwr_whole", "hits_whole", "lpa_whole"):
+        catalog.QUERIES[name](spark, tables)
+    assert calls == [("distances", 4, {}), ("random_walk", 20, {"settled": 1e-3}), ("hits", 10, {}), ("label_propagation", 50, {"stable": True})]
