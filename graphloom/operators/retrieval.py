@@ -74,10 +74,17 @@ def rank_symbols(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(top)).select("symbol", F.round(score, 6).alias("score"))
 
 
-def pack(rows: DataFrame, budget: int, most: int = 20_000) -> DataFrame:
-    """Greedy by score per token, skipping what no longer fits, then by score. Greedy is sequential: only the `most` best
-    ranked are candidates, as in any ranked answer."""
-    best = rows.orderBy(F.desc("score"), "symbol").limit(most)
+def pack(rows: DataFrame, budget: int) -> DataFrame:
+    """Greedy by score per token, skipping what no longer fits, then by score.
+
+    Greedy is sequential, but of the rows of one cost it takes the first ones, at most budget / cost of them: once one
+    does not fit, none after it does. Only these are candidates, found in shares of each cost first, as costs are few.
+    """
+    best = rows.withColumns({"density": F.col("score") / F.col("cost"), "share": F.pmod(F.xxhash64("symbol"), F.lit(256))})
+    for keys in (["cost", "share"], ["cost"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("density"), "symbol"))
+        best = best.withColumn("place", place).filter((F.col("cost") <= 0) | (F.col("place") * F.col("cost") <= budget))
+    best = best.select("symbol", "score", "cost")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(density=pdf["score"] / pdf["cost"]).sort_values(["density", "symbol"], ascending=[False, True], kind="stable")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom import catalog
-from graphloom.operators import iterative
+from graphloom.operators import iterative, retrieval
 from graphloom.operators import iterative
 from graphloom.plans import derived
 
@@ -116,3 +116,17 @@ def test_registered_rounds(spark, tables, monkeypatch):
     for name in ("bfs_distance_whole", "rwr_whole", "hits_whole", "lpa_whole"):
         catalog.QUERIES[name](spark, tables)
     assert calls == [("distances", 4, {}), ("random_walk", 20, {"settled": 1e-3}), ("hits", 10, {}), ("label_propagation", 50, {"stable": True})]
+
+
+def test_pack_takes_dense_symbols_of_low_score(spark):
+    rng = random.Random(6)
+    rows = [(f"long{k}", 1.0 + k % 7, 9 + k % 3) for k in range(20_500)] + [(f"s{k}", 0.9, 1 + k % 2) for k in range(30)] + [("huge", 99.0, 500)]
+    rng.shuffle(rows)
+    for budget in (5, 40, 200):
+        left, want = budget, []
+        for symbol, score, cost in sorted(rows, key=lambda r: (-r[1] / r[2], r[0])):
+            if cost <= left:
+                want.append((symbol, score, cost))
+                left -= cost
+        want.sort(key=lambda r: (-r[1], r[0]))
+        assert list(map(tuple, retrieval.pack(spark.createDataFrame(rows, "symbol string, score double, cost long"), budget).collect())) == want
