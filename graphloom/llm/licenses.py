@@ -116,13 +116,12 @@ class Automaton:
             yield v, n
 
     def endings(self, v: int, n: int) -> Iterator[int]:
-        """Texts that end, whole, with a suffix of n words of state v's strings."""
+        """Texts that are, whole, a suffix of the n words matched in state v: a state's text is its longest string."""
         while v > 0:
-            if v in self.whole and self.length[self.link[v]] < n:
+            if v in self.whole and n >= self.length[v]:
                 for k in self.whole[v]:
                     yield k
             v = self.link[v]
-            n = min(n, self.length[v])
 
 
 class Scanner:

@@ -255,6 +255,21 @@ def test_matching_statistics():
         assert n == max(m for m in range(k + 2) if tuple(probe[k + 1 - m : k + 1]) in subs)
 
 
+def test_license_phrases_are_whole(spark):
+    rng = random.Random(9)
+    pieces = [x.split() for x in licenses.PHRASES] + [["license", "version", "2"], ["gnu", "general", "public"], ["version", "2"], ["the", "mit", "license"], ["cc", "by"], ["nc"], ["apache"], ["under"], ["other"]]
+    texts = ["license version 2", "gpl license version 2", "GNU General Public License version 2", "apache license version 2", "under apache license version 2", "the mit license"]
+    texts += [" ".join(w for _ in range(12) for w in rng.choice(pieces)) for _ in range(300)]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        w = words(texts[r["doc_id"]])
+        want = [(k, label) for x, label in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(x.split())] == x.split()]
+        places = [k for k, _ in want]
+        assert (r["n_base"], r["first_word"], r["last_word"]) == (len(want), min(places, default=None), max(places, default=None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in want}))
+
+
 def test_warc(spark):
     big = "<p>" + "é" * 800
     rows = [(1, "http://a/", big), (2, None, big), (3, "u", "short"), (4, "u", "short"), (5, "x", None), (None, "n", big), (7, "http://b/\nc", "x\r\n\r\ny")]
