@@ -30,8 +30,8 @@ def decide(pages: DataFrame) -> DataFrame:
     if same.count() <= BROADCAST_DIGESTS:
         found = keyed.join(F.broadcast(same), "sha", "left")
     else:
-        marks = common.join_hot(keyed.select("page_id", "sha").filter("sha is not null"), same, ["sha"], "n").select("page_id", "refers_to").distinct()
-        found = keyed.join(marks, "page_id", "left")
+        short = keyed.filter("sha is null").select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"))
+        found = common.join_hot(keyed.filter("sha is not null"), same, ["sha"], "n", "left").select(*short.columns).unionByName(short)
     return found.select("page_id", "url", "html", F.when(F.col("refers_to") != F.col("page_id"), F.col("refers_to")).alias("refers_to"))
 
 

@@ -286,6 +286,20 @@ def test_warc(spark):
     assert warc.read_records(warc.archive(pages.limit(0))[1]).count() == 0
 
 
+def test_warc_without_broadcast(spark, monkeypatch):
+    big = ["<p>" + x * 1200 for x in "abcdef"]
+    rows = [(1, big[0]), (1, "short"), (1, big[1]), (1, big[2]), (2, big[0]), (3, big[1]), (3, big[3]), (None, big[0]), (None, None), (4, "short"), (5, big[4]), (5, big[4]), (6, None)]
+    rows += [(10 + k, big[5]) for k in range(40)]
+    pages = spark.createDataFrame([(i, f"u{k}", h) for k, (i, h) in enumerate(rows)], "page_id long, url string, html string")
+    last = {h: max(j for j, x in rows if x == h and j is not None) for _, h in rows if h and len(h) >= 1000}
+    want = sorted((f"u{k}", i, h or "", last[h] if h in last and i is not None and last[h] != i else None) for k, (i, h) in enumerate(rows))
+    for limit in (300_000, 0):
+        monkeypatch.setattr(warc, "BROADCAST_DIGESTS", limit)
+        got = sorted((r["url"], r["page_id"], r["html"], r["refers_to"]) for r in warc.decide(pages).collect())
+        assert [x[:2] for x in got] == [x[:2] for x in want], limit
+        assert got == want, limit
+
+
 def test_urls(spark):
     rows = [(1, "http://A.example.com/en/1?x"), (2, "https://www.example.com/en/2"), (3, "x.net/es/1"), (4, "http://x.net/es/1#f"), (5, None), (6, "http://b.org"), (6, "http://b.org"), (8, "ftp://q.NET?/es/"), (9, "http://notexample.com/en/"), (10, "http://net/fr/")]
     got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
