@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import common
 
-#: Words of a window, and from one window's start to the next: windows overlap by a quarter.
-WINDOW, STRIDE = 32, 24
+#: Words of a window, and from one window's start to the next: windows overlap by half, so a passage of up to 17 words
+#: stands whole in one.
+WINDOW, STRIDE = 32, 16
 #: Labelled documents to learn from, about; and windows that one epoch goes through.
 TRAIN_DOCS, EPOCH_WINDOWS, EPOCHS = 6_000, 16_000, 8
 #: Words with an embedding of their own are those of most training documents; the others share one and differ by characters.

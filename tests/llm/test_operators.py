@@ -233,6 +233,15 @@ def test_gif_query_columns(odd, empty):
     assert len(rows) == odd.count() and gif.digest(gif.store(empty)).count() == 0
 
 
+def test_toxic_windows_overlap_by_half():
+    for n in (1, 32, 33, 200, 331):
+        places, real, firsts = toxicity.windows(np.array([0, n]))
+        seen = [set(p[r].tolist()) for p, r in zip(places, real)]
+        size = min(n, toxicity.WINDOW // 2 + 1)
+        assert len(seen) == firsts[-1] and set().union(*seen) == set(range(n))
+        assert all(any(set(range(a, a + size)) <= x for x in seen) for a in range(n - size + 1))
+
+
 def test_licenses(spark, odd, empty):
     scanner = licenses.Scanner()
     mit = licenses.TEMPLATES["mit"][0]
