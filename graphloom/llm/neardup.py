@@ -188,8 +188,47 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Texts with equal sequences of words are one class; two such texts are linked if the weighted Jaccard similarity
     of their five-word shingles is 0.8 or more; classes are what links connect. Null texts and texts
-    without words are classes of their own; a null doc_id has a null class; doc_id names a document, so repeated
-    rows of one id are rows of one class.
+    without words are classes of their own; a null doc_id has a null class. Repeated rows of one id and text are rows
+    of one class; where an id stands on different texts, each of them is a document of its own.
+    """
+    signed = common.cut(sign(docs), "signed")
+    if not docs_mixed(docs, signed):
+        return _near_duplicates(docs, signed)
+    return _by_text(docs).select("doc_id", "class_id", "n_same")
+
+
+def docs_mixed(docs: DataFrame, signed: DataFrame) -> bool:
+    """Whether any doc_id stands on different texts."""
+    if not docs_repeat(signed):
+        return False
+    texts = docs.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min(_text_key()) != F.max(_text_key())).alias("mixed"))
+    return not texts.filter("mixed").isEmpty()
+
+
+def _text_key():
+    """A 64-bit hash of a row's id and text, null where the id is."""
+    text = F.col("text").cast("string")
+    return F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(text, F.lit("")), text.isNull()))
+
+
+def _by_text(docs: DataFrame) -> DataFrame:
+    """Classes of the distinct (doc_id, text), as for ids on different texts: a row for each of docs' rows with key, doc_id,
+    head (key of the class's first by doc_id), class_id, n_same."""
+    rows = docs.select(_text_key().alias("doc_id"), "text")
+    found = _near_duplicates(rows, common.cut(sign(rows), "signed")).select(F.col("doc_id").alias("key"), F.col("class_id").alias("comp"), "n_same")
+    found = common.cut(found, "by_text")
+    ids = common.cut(docs.select(_text_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id")).groupBy("key", "doc_id").agg(F.count("*").alias("n_key")), "ids")
+    known = common.join_hot(found.filter("key is not null"), ids.filter("key is not null"), ["key"], "n_key")
+    known = common.cut(known.select("key", "doc_id", "comp", "n_same"), "known")
+    first = F.min(F.struct("doc_id", "key"))
+    heads = known.groupBy("comp").agg(first.alias("m"), F.count("*").alias("n_comp")).select("comp", "n_comp", F.col("m.key").alias("head"), F.col("m.doc_id").alias("class_id"))
+    named = common.join_hot(known, common.cut(heads, "heads"), ["comp"], "n_comp").select("key", "doc_id", "head", "class_id", "n_same")
+    none = F.lit(None).cast("long")
+    return named.unionByName(found.filter("key is null").select("key", none.alias("doc_id"), none.alias("head"), none.alias("class_id"), "n_same"))
+
+
+def _near_duplicates(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """near_duplicates where no doc_id stands on different texts.
 
     Each band's bucket is compared with its least member, one pair a member. Where that leaves a bucket in several
     components, buckets of up to SMALL members compare all of them, larger ones another leader, then each member its
@@ -197,7 +236,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     threshold, which a pair at it misses with probability 2e-5. Sketches are held against each other in blocks of
     BLOCK members, so no task takes a whole bucket.
     """
-    signed = common.cut(sign(docs), "signed")
     some = signed.filter("fp1 is not null and doc_id is not null")
     same = common.cut(some.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_same")), "same")
     reps = some.join(same.select(F.col("rep").alias("doc_id"), "fp1", "fp2"), ["doc_id", "fp1", "fp2"]).dropDuplicates(["doc_id", "fp1", "fp2"])
@@ -372,8 +410,13 @@ def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the document with the least id stays."""
-    found = common.cut(near_duplicates(docs), "classes")
+    """Pipeline stage: of each class the document with the least id stays, and of rows with its id and text one."""
+    signed = common.cut(sign(docs), "signed")
+    if docs_mixed(docs, signed):
+        drop = _by_text(docs).filter("key <> head").select(F.col("key").alias("_key")).distinct()
+        kept = common.with_ids(docs.withColumn("_key", _text_key()), common.cut(drop, "drop"), "left_anti", "_key")
+        return kept.filter("_key is not null").dropDuplicates(["_key"]).unionByName(kept.filter("_key is null")).select(*docs.columns)
+    found = common.cut(_near_duplicates(docs, signed), "classes")
     drop = found.filter("doc_id <> class_id").select("doc_id").distinct()
     kept = common.with_ids(docs, common.cut(drop, "drop"), "left_anti").select(*docs.columns)
     if not docs_repeat(found):

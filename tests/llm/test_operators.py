@@ -377,3 +377,14 @@ def test_neardup_large_bucket_of_many_components(spark, monkeypatch):
             rows.append((len(rows), " ".join(copy)))
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_classes(rows)
+
+
+def test_neardup_ids_on_different_texts(spark, tmp_path):
+    rng = random.Random(3)
+    a, b, c = (" ".join(f"{x}{rng.randrange(9999)}" for _ in range(120)) for x in "abc")
+    rows = [(5, a), (5, b), (5, b), (7, a + " end"), (8, b + " end"), (9, c), (9, c + " end"), (2, c), (4, None), (4, "!"), (4, "d"), (None, a)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k long").repartition(3)
+    got = sorted((r["doc_id"], r["class_id"], r["n_same"]) for r in neardup.near_duplicates(docs).collect() if r["doc_id"] is not None)
+    assert got == sorted([(5, 5, 1), (5, 5, 2), (5, 5, 2), (7, 5, 1), (8, 5, 1), (9, 2, 2), (9, 2, 1), (2, 2, 2), (4, 4, 1), (4, 4, 1), (4, 4, 1)])
+    kept = sorted(((r["doc_id"] or 0, r["text"] or "") for r in neardup.keep_first(spark, docs, "").collect()))
+    assert kept == sorted([(5, a), (5, b), (2, c), (4, ""), (4, "!"), (4, "d"), (0, a)])
