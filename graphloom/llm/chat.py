@@ -117,7 +117,7 @@ def fit(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> Hmm:
         yield pa.RecordBatch.from_arrays([pa.array(at[:, 0], pa.int32()), pa.array(at[:, 1], pa.int32()), pa.array(total[at[:, 0], at[:, 1]], pa.int64())], ["f", "r", "n"])
 
     emit, change, start = np.zeros((N_FEATURES, len(ROLES))), np.zeros((len(ROLES),) * 2), np.zeros(len(ROLES))
-    for f, r, n in some.select("role", F.least(F.col("place"), F.lit(1000)).cast("int").alias("place"), "text").mapInArrow(count, "f int, r int, n long").groupBy("f", "r").agg(F.sum("n")).collect():
+    for f, r, n in some.select("role", F.least(F.col("place"), F.lit(1000)).cast("int").alias("place"), "text").mapInArrow(common.tidy(count), "f int, r int, n long").groupBy("f", "r").agg(F.sum("n")).collect():
         emit[f, r] += n
     for a, b, n in some.filter("former is not null").groupBy("former", "role").count().collect():
         if a in ROLES:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,12 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where it is unset (tests, one machine) a local one is made."""
+    """The folder named by spark.checkpoint.dir; a local one is made only where it is unset and Spark runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     import tempfile
 
     made = "file://" + tempfile.mkdtemp(prefix="graphloom-")
@@ -41,6 +44,25 @@ def cut(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker process serves many stages, and its allocators keep what they had."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run over a task's batches, then release()."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -170,17 +192,18 @@ def word_keys(text: str) -> np.ndarray:
 def join_hot(left: DataFrame, right: DataFrame, keys: list[str], counts: str, how: str = "inner", parts: int = 256) -> DataFrame:
     """left joined to right, which has one row for each key and the key's number of left rows in column `counts`.
 
-    Keys that hold over 1/parts of all left rows (fewer than `parts` of them, so their rows can be broadcast) are
-    looked up where they lie; only the others are shuffled, so that no key makes a large task.
+    Keys that hold over 1/parts of all left rows (about `parts` of them at most, so that their hashes make a list of
+    literals and their rows a broadcast) are looked up where they lie; only the others are shuffled, so that no key
+    makes a large task.
     """
     total = right.agg(F.sum(counts)).first()[0] or 0
-    if not total:
+    digest = F.xxhash64(*(F.col(k).cast(right.schema[k].dataType) for k in keys))
+    marks = [r[0] for r in right.filter(F.col(counts) >= max(2, total // parts)).select(digest).collect()] if total else []
+    if not marks:
         return left.join(right, keys, how)
-    hot = right.filter(F.col(counts) >= max(2, total // parts))
-    marks = hot.select(*keys, F.lit(True).alias("_hot"))
-    marked = left.join(F.broadcast(marks), keys, "left")
-    cold = marked.filter(F.col("_hot").isNull()).drop("_hot").join(right.filter(F.col(counts) < max(2, total // parts)), keys, how)
-    near = marked.filter(F.col("_hot")).drop("_hot").join(F.broadcast(hot), keys, "inner")
+    hot = digest.isin(marks)  # a key that shares a hash by chance is looked up too
+    cold = left.filter(~hot).join(right.filter(~hot), keys, how)
+    near = left.filter(hot).join(F.broadcast(right.filter(hot)), keys, how)
     return cold.unionByName(near)
 
 
@@ -189,6 +212,20 @@ BROADCAST_IDS = 1_000_000
 
 
 def with_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
-    """docs left_semi or left_anti the distinct ids; broadcast only after counting them."""
+    """docs left_semi or left_anti the distinct ids; broadcast only after counting them. A null id is no id: left_anti
+    keeps its rows, so a decision on rows without id goes by text_key."""
     small = ids.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(ids) if small else ids, key, how)
+
+
+def text_key():
+    """A 64-bit hash of a row's id and text, for rows whose id is null or stands on several texts."""
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    return F.xxhash64(F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), F.coalesce(text, F.lit("")), text.isNull())
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name

@@ -60,7 +60,7 @@ def build_index(docs: DataFrame) -> DataFrame:
         if ids:
             yield shard()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(build, INDEX_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.tidy(build), INDEX_SCHEMA)
 
 
 class Probe:
@@ -184,7 +184,7 @@ def probe(index: DataFrame, items: list[tuple[str, str]], window: int = WINDOW)
                 kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.list_(pa.string()), pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["shard", "place", "doc_id", "n_words", "spans", "items", "near"])
 
-    return index.mapInArrow(search, HIT_SCHEMA)
+    return index.mapInArrow(common.tidy(search), HIT_SCHEMA)
 
 
 def _merge(key, pdf):
@@ -232,9 +232,15 @@ LEAKED = f"n_items >= 2 or n_hit >= {LEAST_HIT}"
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents in which windows of two benchmark items occur, or LEAST_HIT words of windows, go."""
-    found = common.cut(find(docs, common.table(spark, sf_dir, "benchmark")).filter(LEAKED).select("doc_id"), "leaks").distinct()
-    return common.with_ids(docs, found, "left_anti").select(*docs.columns)
+    """Pipeline stage: documents in which windows of two benchmark items occur, or LEAST_HIT words of windows, go.
+
+    A decision is on an id and its text: rows without id, and the texts of an id that stands on several, are each judged.
+    """
+    key = common.fresh(docs, "key")
+    rows = docs.withColumn(key, common.text_key())
+    found = find(rows.select(F.col(key).alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
+    leaks = common.cut(found.filter(LEAKED).select(F.col("doc_id").alias(key)), "leaks").distinct()
+    return common.with_ids(rows, leaks, "left_anti", key).select(*docs.columns)
 
 
 OP9_SQL = r"""

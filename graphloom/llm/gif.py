@@ -235,7 +235,7 @@ def store(docs: DataFrame) -> DataFrame:
                 made = [write(data[x:y].ljust(max(64, -(-(y - x) // 64) * 64), b"\0")) for x, y in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(made, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.tidy(run), "doc_id long, n_bytes long, media binary")
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int"
@@ -261,7 +261,7 @@ def digest(media: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], [x.split()[0] for x in DIGEST.split(", ")])
 
-    return media.mapInArrow(run, DIGEST)
+    return media.mapInArrow(common.tidy(run), DIGEST)
 
 
 def op7_gif(spark: SparkSession, sf_dir: str) -> DataFrame:

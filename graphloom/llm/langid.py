@@ -120,7 +120,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
 
     schema = "lang string, block int, counts binary, seen long"
     some = rows.filter(common.sampled(sum(sizes.values()), train_docs, "doc_id")).select("text", "lang")
-    parts = some.mapInArrow(count, schema).groupBy("lang", "block").applyInPandas(add, schema).collect()
+    parts = some.mapInArrow(common.tidy(count), schema).groupBy("lang", "block").applyInPandas(add, schema).collect()
     counts, seen = np.zeros((len(langs), width)), np.zeros(len(langs))
     for r in parts:
         counts[index[r["lang"]], r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["counts"], "<i8")
@@ -151,8 +151,9 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 p.append(y)
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(p) if p else [], pa.float64())], ["p", "s"])
 
-    scored = F.arrow_udf(score, "p string, s double", F.ArrowUDFType.SCALAR_ITER)
-    return docs.withColumn("_lang", scored(F.col("text"))).withColumns({"lang_pred": F.col("_lang.p"), "lang_score": F.col("_lang.s")}).drop("_lang")
+    scored = F.arrow_udf(common.tidy(score), "p string, s double", F.ArrowUDFType.SCALAR_ITER)
+    both = common.fresh(docs, "lang_both")
+    return docs.withColumn(both, scored(F.col("text"))).withColumns({"lang_pred": F.col(both + ".p"), "lang_score": F.col(both + ".s")}).drop(both)
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

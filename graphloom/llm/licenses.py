@@ -210,7 +210,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     rows.append((doc, x["n_words"], len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, spans))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.tidy(run), SCHEMA)
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

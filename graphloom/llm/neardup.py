@@ -116,7 +116,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), *prints, lists], ["doc_id", "fp1", "fp2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp1 long, fp2 long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.tidy(run), "doc_id long, fp1 long, fp2 long, bands array<long>")
 
 
 def elements(docs: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def elements(docs: DataFrame) -> DataFrame:
                 key, first = key[order], np.searchsorted(row, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([key[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["doc_id", "elements"])
 
-    return docs.mapInArrow(run, "doc_id long, elements binary")
+    return docs.mapInArrow(common.tidy(run), "doc_id long, elements binary")
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -157,7 +157,7 @@ def verify(pairs: DataFrame, elems: DataFrame, least: float = SIMILARITY) -> Dat
             good = [similarity(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(common.tidy(run), "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -233,7 +233,7 @@ def _near_duplicates(docs: DataFrame, signed: DataFrame) -> DataFrame:
     Each band's bucket is compared with its least member, one pair a member. Where that leaves a bucket in several
     components, buckets of up to SMALL members compare all of them, larger ones another leader, then each member its
     likeliest partners of other components, and at last all pairs between components whose sketches allow for the
-    threshold, which a pair at it misses with probability 2e-5. Sketches are held against each other in blocks of
+    threshold, which a pair at it misses with probability 2e-9. Sketches are held against each other in blocks of
     BLOCK members, so no task takes a whole bucket.
     """
     some = signed.filter("fp1 is not null and doc_id is not null")
@@ -277,9 +277,9 @@ def docs_repeat(signed: DataFrame) -> bool:
 #: Members of a bucket up to which all its components are compared at once; members of a block; and bins of a sketch,
 #: of which the first FEW are looked at first. Rounds 1 to LAST - 1 take each member's likeliest partners, round LAST
 #: all that are left.
-SMALL, BLOCK, BINS, FEW, LAST = 8, 256, 1024, 128, 2
-#: Standard deviations by which a sketch may fall short of the threshold: a chance of 1e-5 a look.
-MARGIN = 4.3
+SMALL, BLOCK, BINS, FEW, LAST = 8, 2048, 1024, 128, 2
+#: Standard deviations by which a sketch may fall short of the threshold: a chance of 1e-9 a look.
+MARGIN = 6.0
 
 
 def sketched(elems: DataFrame) -> DataFrame:
@@ -301,7 +301,7 @@ def sketched(elems: DataFrame) -> DataFrame:
                 size.append(len(key))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "size", "sketch"])
 
-    return elems.mapInArrow(run, "doc_id long, size long, sketch binary")
+    return elems.mapInArrow(common.tidy(run), "doc_id long, size long, sketch binary")
 
 
 def _allowed(same: np.ndarray, bins: np.ndarray, left: np.ndarray | None = None, right: np.ndarray | None = None, least: float = SIMILARITY) -> np.ndarray:
@@ -410,12 +410,14 @@ def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the document with the least id stays, and of rows with its id and text one."""
+    """Pipeline stage: of each class the document with the least id stays, and of rows with its id and text one. Rows without
+    id stay: nothing says which of them is first."""
     signed = common.cut(sign(docs), "signed")
     if docs_mixed(docs, signed):
         drop = _by_text(docs).filter("key <> head").select(F.col("key").alias("_key")).distinct()
-        kept = common.with_ids(docs.withColumn("_key", _text_key()), common.cut(drop, "drop"), "left_anti", "_key")
-        return kept.filter("_key is not null").dropDuplicates(["_key"]).unionByName(kept.filter("_key is null")).select(*docs.columns)
+        key = common.fresh(docs, "key")
+        kept = common.with_ids(docs.withColumn(key, _text_key()), common.cut(drop.withColumnRenamed("_key", key), "drop"), "left_anti", key)
+        return kept.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.filter(F.col(key).isNull())).select(*docs.columns)
     found = common.cut(_near_duplicates(docs, signed), "classes")
     drop = found.filter("doc_id <> class_id").select("doc_id").distinct()
     kept = common.with_ids(docs, common.cut(drop, "drop"), "left_anti").select(*docs.columns)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 import zlib
 from array import array
@@ -21,7 +20,7 @@ GROUP = 1500
 #: Rounds of exchange at most; each leaves a small share of the former one's pieces open.
 ROUNDS = 12
 #: Runs whose ids a worker remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -61,13 +60,9 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.models import BPE
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
-        self.model = BPE(model["vocab"], merges, end_of_word_suffix=model["end_of_word_suffix"], cache_capacity=0)
+        self.model = self.tokenizer.model  # the same object, not a copy
         self.letters = {b: x for b, x in enumerate(_byte_letters()) if b >= 0x80}
         self.clear()
 
@@ -156,7 +151,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
         known = encoder(path)
         for batch in batches:
             texts = batch.column(1)
-            for a, b in common.chunks(texts, 4 << 20):
+            for a, b in common.chunks(texts):
                 rows = []
                 ids, first = known.encode(texts.slice(a, b - a))
                 for doc, lo, hi in zip(batch.column(0).slice(a, b - a).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -164,7 +159,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.tidy(encode), PIECES)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:

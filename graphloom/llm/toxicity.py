@@ -16,6 +16,8 @@ from graphloom.llm import common
 WINDOW, STRIDE = 32, 16
 #: Labelled documents to learn from, about; and windows that one epoch goes through.
 TRAIN_DOCS, EPOCH_WINDOWS, EPOCHS = 6_000, 16_000, 8
+#: Bytes of text that come to the driver to learn from, about; a document of over a sixteenth of them is not learned from.
+TRAIN_BYTES = 16 << 20
 #: Words with an embedding of their own are those of most training documents; the others share one and differ by characters.
 #: Windows of a step, and steps of a training at least.
 BATCH, LEAST_STEPS = 256, 300
@@ -56,9 +58,11 @@ def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     firsts = np.zeros(len(n) + 1, np.int64)
     np.cumsum(count, out=firsts[1:])
     k = np.arange(firsts[-1]) - np.repeat(firsts[:-1], count)
-    places = (np.repeat(first[:-1], count) + k * STRIDE)[:, None] + np.arange(WINDOW)
+    begin = np.repeat(first[:-1], count) + k * STRIDE
+    places = begin.astype(np.int32)[:, None] + np.arange(WINDOW, dtype=np.int32)
     real = places < np.repeat(first[1:], count)[:, None]
-    return np.where(real, places, 0), real, firsts
+    places[~real] = 0
+    return places, real, firsts
 
 
 class Net:
@@ -197,13 +201,12 @@ def distinct_words(col: pa.Array) -> tuple[np.ndarray, ...]:
     return keys, inverse, grams.astype(np.int64), own, np.concatenate([[0], np.cumsum(np.concatenate(counts))])
 
 
-def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Net:
+def train(col: pa.Array, toxic: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Net:
     """Multiple-instance training: a toxic document's windows all count at first, later those that score highest."""
-    col = pa.array(texts, pa.large_string())
     keys, inverse, grams, first, doc_first = distinct_words(col)
-    doc = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(doc_first))
-    pairs = np.unique(inverse * np.int64(len(texts)) + doc)
-    df = np.bincount(pairs // len(texts), minlength=len(keys))
+    doc = np.repeat(np.arange(len(col), dtype=np.int64), np.diff(doc_first))
+    pairs = np.unique(inverse * np.int64(len(col)) + doc)
+    df = np.bincount(pairs // len(col), minlength=len(keys))
     del pairs, doc
     often = np.flatnonzero(df >= LEAST_DOCS)
     vocabulary = np.sort(keys[often[np.argsort(-df[often], kind="stable")[:VOCABULARY]]])
@@ -212,7 +215,7 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
     places, real, firsts = windows(doc_first)
     which = inverse[places]
     del places
-    owner = np.repeat(np.arange(len(texts)), np.diff(firsts))
+    owner = np.repeat(np.arange(len(col), dtype=np.int32), np.diff(firsts))
     rng = np.random.default_rng(seed)
     target = toxic.astype(np.float32)[owner]
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
@@ -271,12 +274,17 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Net
     marks = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~common.held_out())
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = marks.filter(common.sampled(marks.count(), train_docs, "doc_id"))
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(picked, "doc_id").select("doc_id", "text", "toxic").collect()
-    rows = sorted({(r["doc_id"], r["toxic"], r["text"]) for r in rows})
-    toxic = np.array([r[1] for r in rows], np.int64)
-    if not len(rows) or toxic.min() == toxic.max():
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.octet_length("text") <= TRAIN_BYTES // 16)
+    rows = common.cut(texts.join(picked, "doc_id").select("doc_id", "text", "toxic").distinct(), "labelled")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    some = rows.filter(common.sampled(size, TRAIN_BYTES, "doc_id", "text")) if size > TRAIN_BYTES else rows
+    found = some.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    col, toxic = found.column("text").combine_chunks(), found.column("toxic").to_numpy().astype(np.int64)
+    if not len(toxic) or toxic.min() == toxic.max():
         return None
-    return train([r[2] for r in rows], toxic)
+    net = train(col, toxic)
+    common.release()
+    return net
 
 
 def assess(docs: DataFrame, net: Net | None) -> DataFrame:
@@ -294,7 +302,7 @@ def assess(docs: DataFrame, net: Net | None) -> DataFrame:
             parts = [model.score(texts.slice(a, b - a)) for a, b in common.chunks(texts)]
             yield pa.array(np.concatenate(parts) if parts else [], pa.float64())
 
-    scored = F.arrow_udf(score, "double", F.ArrowUDFType.SCALAR_ITER)
+    scored = F.arrow_udf(common.tidy(score), "double", F.ArrowUDFType.SCALAR_ITER)
     return docs.withColumn("tox_score", scored(F.col("text"))).withColumn("tox_pred", (F.col("tox_score") >= 0.5).cast("int"))
 
 

@@ -62,7 +62,7 @@ def write_archives(rows: DataFrame) -> DataFrame:
         if size:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join([*parts, pack.flush()])], pa.binary())], ["archive"])
 
-    return rows.select("page_id", "url", "html", "refers_to").mapInArrow(run, "archive binary")
+    return rows.select("page_id", "url", "html", "refers_to").mapInArrow(common.tidy(run), "archive binary")
 
 
 def records(stream: bytes, step: int = 1 << 18) -> Iterator[bytes]:
@@ -110,7 +110,7 @@ def normalise(archives: DataFrame) -> DataFrame:
                     at += len(parts[-1])
                 yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary()), pa.array([index], pa.list_(pa.struct([("at", pa.int64()), ("size", pa.int64())])))], ["members", "offsets"])
 
-    return archives.mapInArrow(run, MEMBERS)
+    return archives.mapInArrow(common.tidy(run), MEMBERS)
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
@@ -149,7 +149,7 @@ def read_records(normalised: DataFrame) -> DataFrame:
                     rows.append((number(fields["warc-record-id"]), size, digest, fields["warc-type"], number(fields.get("warc-refers-to")), fields["warc-target-uri"], place["at"], place["size"]))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [x.split()[0] for x in READ.split(", ")])
 
-    return normalised.mapInArrow(run, READ)
+    return normalised.mapInArrow(common.tidy(run), READ)
 
 
 def archive(pages: DataFrame) -> tuple[DataFrame, DataFrame]:

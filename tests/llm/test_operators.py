@@ -62,7 +62,7 @@ def test_toxicity_learns(spark, odd, empty):
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["tree", "river", "stone", "cloud", "wind", "leaf"]) for _ in range(60)) for _ in range(300)]
     texts = [t.replace("stone", "scoundrel", 2) if k % 4 == 0 else t for k, t in enumerate(texts)]
-    net = toxicity.train(texts[:240], np.array([k % 4 == 0 for k in range(240)], int), epochs=6)
+    net = toxicity.train(pa.array(texts[:240]), np.array([k % 4 == 0 for k in range(240)], int), epochs=6)
     got = net.score(pa.array(texts[240:])) >= 0.5
     assert (got == np.array([k % 4 == 0 for k in range(240, 300)])).mean() > 0.9
     assert toxicity.assess(odd, net).filter("tox_score between 0 and 1").count() == odd.count()
