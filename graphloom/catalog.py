@@ -15,21 +15,8 @@ from graphloom.operators import relational as rel
 from graphloom.plans import derived
 from graphloom.plans.derived import NEXT_USER_SQL, RUNTIME_SQL, RUNTIME_WHOLE_SQL, USER_SQL, graph_sql, table
 from graphloom.plans.lineage import cut
-
-#: The queries' present: a fixed second after all events.
-NOW = 1_735_689_600
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
+from graphloom.queries import store as _store  # noqa: F401  they register themselves
+from graphloom.registry import NOW, QUERIES, SQL, query
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -79,11 +66,6 @@ def repo_prefix_filter(spark, d):
     return derived.nodes(spark, d).filter(F.col("qualified_name").startswith("geo://")).select("node_hash")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE NOT (starts_with(p_name, 'external://') OR regexp_matches(p_name, '(^|/)(dist|build|vendor|node_modules|testdata|fixtures)/') OR regexp_matches(p_name, '(?i)(mock|fake|stub)'))")
-def noise_filter(spark, d):
-    return table(spark, d, "part").filter(~rel.noise(F.col("p_name"))).select("p_partkey", "p_name")
-
-
 # files: an order is a file, its lines' quantities its content; a node lies in the file of its package
 FILES_SQL = "files AS (SELECT sha256('f' || o_orderkey) AS file_hash, 'shared' AS repo_hash, 'pkg/' || (o_custkey % 50) || '/' || (o_orderkey % 10) AS path, sha256(o_orderstatus || o_orderpriority) AS content_hash, o_orderkey FROM orders), fnodes AS (SELECT *, sha256('f' || CAST(substr(name, 2) AS BIGINT)) AS file_hash FROM nodes WHERE starts_with(name, 'O'))"
 
@@ -182,16 +164,6 @@ def dead_routes(spark, d, runtime=derived.runtime_edges):
 AGE = f"(({NOW} - last_observed) / 86400.0)"
 
 
-@query(f"WITH {RUNTIME_SQL} SELECT count(*) AS total, count(*) FILTER ({AGE} <= 7) AS active, count(*) FILTER ({AGE} > 30) AS stale, count(*) FILTER ({AGE} > 90) AS collectable FROM runtime")
-def runtime_stats_buckets(spark, d, runtime=derived.runtime_edges):
-    return rel.runtime_stats(runtime(spark, d), NOW)
-
-
-@query(f"WITH {RUNTIME_SQL} SELECT CASE WHEN {AGE} <= 7 THEN 'active' WHEN {AGE} <= 30 THEN 'aging' WHEN {AGE} <= 90 THEN 'stale' ELSE 'collectable' END AS bucket, count(*) AS n FROM runtime GROUP BY 1")
-def trace_stats_exclusive(spark, d, runtime=derived.runtime_edges):
-    return rel.trace_stats(runtime(spark, d), NOW)
-
-
 @query(f"WITH {RUNTIME_SQL} SELECT service_name, route_pattern, CAST(CASE WHEN {AGE} > 90 THEN 0.0 WHEN {AGE} > 30 THEN 0.2 WHEN observation_count > 1000 THEN 0.95 WHEN observation_count >= 100 THEN 0.85 WHEN observation_count >= 10 THEN 0.7 WHEN observation_count >= 1 THEN 0.5 ELSE 0.2 END AS DOUBLE) AS confidence FROM runtime")
 def confidence_decay(spark, d, runtime=derived.runtime_edges):
     return rel.decay_confidence(runtime(spark, d), NOW).select("service_name", "route_pattern", "confidence")
@@ -209,11 +181,6 @@ def feedback_report(spark, d):
     return rel.feedback_report(_feedback(spark, d), 5)
 
 
-@query(f"WITH {FEEDBACK_SQL}, g AS (SELECT symbol_hash, sum(useful) AS u, count(*) AS n FROM fb GROUP BY 1) SELECT symbol_hash, round(u / n, 6) AS plain, round(u / n * least(sqrt(n / 10.0), 1.0), 6) AS root, round(u / n * least(n / 10.0, 1.0), 6) AS linear, round(u / (u + 2 * (n - u)), 6) AS asym FROM g")
-def feedback_boosts_modes(spark, d):
-    return rel.feedback_boosts(_feedback(spark, d))
-
-
 @query("WITH v AS (SELECT o_custkey % 100 AS symbol, o_orderpriority AS author, count(*) AS n FROM orders GROUP BY ALL) SELECT symbol, author, n FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY n DESC, author) AS k FROM v) WHERE k = 1")
 def author_majority(spark, d):
     return rel.majority(table(spark, d, "orders").select((F.col("o_custkey") % 100).alias("symbol"), F.col("o_orderpriority").alias("author")), "symbol", "author")
@@ -603,6 +570,6 @@ def span_ingest_runtime_edges(spark, d, runtime=derived.runtime_edges):
 
 
 # the runtime queries over all users' routes; those above fold them by their SQL
-for _f in (runtime_edges_by_service, dead_routes, runtime_stats_buckets, trace_stats_exclusive, confidence_decay, span_ingest_runtime_edges):
+for _f in (runtime_edges_by_service, dead_routes, confidence_decay, span_ingest_runtime_edges):
     QUERIES[f"{_f.__name__}_whole"] = functools.partial(_f, runtime=derived.runtime_edges_whole)
     SQL[f"{_f.__name__}_whole"] = SQL[_f.__name__].replace(RUNTIME_SQL, RUNTIME_WHOLE_SQL)

@@ -8,13 +8,30 @@ from pyspark.sql import functions as F
 from graphloom.plans.lineage import cut
 
 
+def _steps(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct (node, next), written once: every round of a loop reads it, and none derives it again."""
+    return cut(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct(), "steps")
+
+
+def reached(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
+    """Each node that some start reaches in 1 to `depth` steps, once; a start only if a cycle leads back to one."""
+    a, b = ("target_hash", "source_hash") if reverse else ("source_hash", "target_hash")
+    step = _steps(edges, a, b)
+    front, out = seeds.select(F.col("start").alias("node")).distinct(), None
+    for _ in range(depth):
+        found = front.join(step, "node").select(F.col("next").alias("node")).distinct()
+        front = cut(found if out is None else found.join(out, "node", "left_anti"), "reached")
+        out = front if out is None else out.unionByName(front)
+    return out
+
+
 def closure(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
     """(start, node, depth), each once: a node reached at two depths stands twice, the start again through a cycle.
 
     edges: source_hash, target_hash; seeds: start. A round joins the frontier only, so paths never multiply.
     """
     a, b = ("target_hash", "source_hash") if reverse else ("source_hash", "target_hash")
-    step = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
+    step = _steps(edges, a, b)
     front = seeds.select("start", F.col("start").alias("node"))
     out = None
     for d in range(1, depth + 1):
@@ -33,7 +50,7 @@ def blast_radius(closed: DataFrame, nodes: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, stop: DataFrame | None = None, reverse: bool = False) -> DataFrame:
     """(start, node, depth) with each node once, at its least depth, 0 for the start; nodes in `stop` are not passed."""
     a, b = ("target_hash", "source_hash") if reverse else ("source_hash", "target_hash")
-    step = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
+    step = _steps(edges, a, b)
     seen = cut(seeds.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")), "reach")
     front = seen
     for d in range(1, depth + 1):
@@ -51,7 +68,7 @@ def undirected(edges: DataFrame) -> DataFrame:
 def distances(edges: DataFrame, seeds: DataFrame, depth: int = 4) -> DataFrame:
     """Least hops from any of the seeds, either way along edges."""
     one = seeds.select(F.lit("seed").alias("start"), F.col("start").alias("node"))
-    step = undirected(edges).select(F.col("source_hash").alias("node"), F.col("target_hash").alias("next")).distinct()
+    step = _steps(undirected(edges), "source_hash", "target_hash")
     seen = cut(one.select("node", F.lit(0).alias("depth")).distinct(), "bfs")
     front = seen
     for d in range(1, depth + 1):
@@ -67,7 +84,7 @@ def paths(edges: DataFrame, source: str, target: str, depth: int = 5, most: int
     """
     near = reach(edges, edges.sparkSession.createDataFrame([(target,)], "start string"), depth, reverse=True).select("node", F.col("depth").alias("left"))
     near = cut(near, "near")
-    step = edges.select(F.col("source_hash").alias("node"), F.col("target_hash").alias("next")).distinct()
+    step = _steps(edges, "source_hash", "target_hash")
     front = edges.sparkSession.createDataFrame([(source, [source])], "node string, path array<string>")
     out = None
     for d in range(1, depth + 1):

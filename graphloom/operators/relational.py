@@ -16,16 +16,6 @@ def name_search(nodes: DataFrame, pattern: str) -> DataFrame:
     return nodes.filter(F.col("qualified_name").ilike(pattern + "%"))
 
 
-def edges_from(edges: DataFrame, source: str, kind: str | None = None) -> DataFrame:
-    found = edges.filter(F.col("source_hash") == source)
-    return found if kind is None else found.filter(F.col("edge_type") == kind)
-
-
-def edges_to(edges: DataFrame, target: str, kind: str | None = None) -> DataFrame:
-    found = edges.filter(F.col("target_hash") == target)
-    return found if kind is None else found.filter(F.col("edge_type") == kind)
-
-
 def nodes_in_paths(nodes: DataFrame, files: DataFrame, paths: list[str]) -> DataFrame:
     return nodes.join(files.filter(F.col("path").isin(paths)).select("file_hash", "path"), "file_hash")
 
@@ -89,55 +79,21 @@ def age_days(last: Column, now: int) -> Column:
     return (F.lit(now) - last) / DAY
 
 
-def runtime_stats(runtime: DataFrame, now: int) -> DataFrame:
-    """Overlapping age classes."""
-    age = age_days(F.col("last_observed"), now)
-    return runtime.agg(F.count("*").alias("total"), F.count_if(age <= 7).alias("active"), F.count_if(age > 30).alias("stale"), F.count_if(age > 90).alias("collectable"))
-
-
-def trace_stats(runtime: DataFrame, now: int) -> DataFrame:
-    """Exclusive age classes."""
-    age = age_days(F.col("last_observed"), now)
-    return runtime.groupBy(F.when(age <= 7, "active").when(age <= 30, "aging").when(age <= 90, "stale").otherwise("collectable").alias("bucket")).agg(F.count("*").alias("n"))
-
-
 def feedback_report(feedback: DataFrame, least: int) -> DataFrame:
     return feedback.groupBy("symbol_hash").agg(F.sum("useful").alias("useful"), F.count("*").alias("total"), F.countDistinct("session_id").alias("sessions")).filter(F.col("total") >= least).withColumn("rate", F.round(F.col("useful") / F.col("total"), 6))
 
 
-def feedback_boosts(feedback: DataFrame) -> DataFrame:
-    """Share of useful marks, and it weighted by count: root, linear, and doubling of negatives."""
-    g = feedback.groupBy("symbol_hash").agg(F.sum("useful").alias("u"), F.count("*").alias("n"))
-    share = F.col("u") / F.col("n")
-    return g.select("symbol_hash", F.round(share, 6).alias("plain"), F.round(share * F.least(F.sqrt(F.col("n") / 10), F.lit(1.0)), 6).alias("root"), F.round(share * F.least(F.col("n") / 10, F.lit(1.0)), 6).alias("linear"), F.round(F.col("u") / (F.col("u") + 2 * (F.col("n") - F.col("u"))), 6).alias("asym"))
-
-
 def majority(votes: DataFrame, key: str, value: str) -> DataFrame:
     """The most frequent value of each key, ties to the least."""
     counts = votes.groupBy(key, value).agg(F.count("*").alias("n"))
     return counts.groupBy(key).agg(F.min_by(F.struct(value, "n"), F.struct(-F.col("n"), F.col(value))).alias("b")).select(key, f"b.{value}", "b.n")
 
 
-def snapshot_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Keys on one side only, with `change` added or removed."""
-    added = new.join(old.select(key), key, "left_anti").withColumn("change", F.lit("added"))
-    return added.unionByName(old.join(new.select(key), key, "left_anti").withColumn("change", F.lit("removed")))
-
-
-def latest(rows: DataFrame, by: str) -> DataFrame:
-    return rows.orderBy(F.desc(by)).limit(1)
-
-
 def keep_latest(rows: DataFrame, key: str, version: str) -> DataFrame:
     """Upsert: of each key the row with the largest version."""
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), version).alias("r")).select(key, "r.*")
 
 
-def noise(qualified: Column) -> Column:
-    """Whether a symbol is generated, vendored, external or a test double."""
-    return qualified.startswith("external://") | qualified.rlike(r"(^|/)(dist|build|vendor|node_modules|testdata|fixtures)/") | qualified.rlike(r"(?i)(mock|fake|stub)")
-
-
 def ownership(files: DataFrame, rules: list[tuple[str, list[str]]]) -> DataFrame:
     """path and owner of the last rule (a regular expression) that a path matches; one row an owner."""
     owners = F.lit(None).cast("array<string>")

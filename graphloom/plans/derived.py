@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions import identity
-from graphloom.plans.lineage import cut
+from graphloom.plans.lineage import cut, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +61,31 @@ LINKS = (
 )
 
 
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A table that is derived once an application and read from then on, as indexing writes and queries read."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        path = f"{shared_dir(spark)}/graphloom-{name}-{uuid.uuid4().hex}"
+        rows = make(spark, sf_dir)
+        (rows.write.partitionBy("edge_type") if name == "edges" else rows.write).parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, "nodes", _nodes)
+
+
+def edges(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """All edges, or those of some kinds: the table lies in a folder a kind, so only theirs are read."""
+    found = _once(spark, sf_dir, "edges", _edges)
+    return found.filter(F.col("edge_type").isin(*kinds)) if kinds else found
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for prefix, (name, key) in SOURCES.items():
         repo, package, symbol, kind = _parts(prefix, key)
@@ -70,12 +95,10 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(identity.node_hash(*(F.col(c) for c in ("repo_url", "package_path", "name", "kind"))).alias("node_hash"), "repo_url", "package_path", "name", "kind", q.alias("qualified_name"))
 
 
-def edges(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] | None = None) -> DataFrame:
-    """Keys are made distinct before they are hashed; only the asked kinds' tables are read."""
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys are made distinct before they are hashed."""
     out = None
     for a, ka, b, kb, name, kind in LINKS:
-        if kinds and kind not in kinds:
-            continue
         rows = table(spark, sf_dir, name)
         if a == "S":
             rows = rows.select(F.col("s_suppkey").alias("s_nationkey"), F.col("s_nationkey").cast("long").alias("s_suppkey_nation"))
