@@ -15,7 +15,8 @@ from graphloom.operators import relational as rel
 from graphloom.plans import derived
 from graphloom.plans.derived import NEXT_USER_SQL, RUNTIME_SQL, RUNTIME_WHOLE_SQL, USER_SQL, graph_sql, table
 from graphloom.plans.lineage import cut
-from graphloom.queries import store as _store  # noqa: F401  they register themselves
+from graphloom.queries import snapshots as _snapshots  # noqa: F401  they register themselves
+from graphloom.queries import store as _store  # noqa: F401
 from graphloom.registry import NOW, QUERIES, SQL, query
 
 
@@ -457,11 +458,6 @@ def hier_diff(spark, d):
     return merkle.tree_diff(*_sides(spark, d))
 
 
-@query(f"{TREES} SELECT CASE max(CASE WHEN edge_type IN ('calls', 'implements', 'overrides', 'throws') THEN 4 WHEN edge_type IN ('rpc', 'produces', 'consumes') THEN 3 ELSE 2 END) WHEN 4 THEN 'behavioral' WHEN 3 THEN 'runtime_drift' WHEN 2 THEN 'structural' ELSE 'no_change' END AS class FROM td")
-def change_class(spark, d):
-    return merkle.classify(merkle.tree_diff(*_sides(spark, d)))
-
-
 @query()
 def merkle_roots(spark, d):
     return merkle.roots(_sides(spark, d)[0])[0]

@@ -195,13 +195,13 @@ def louvain(edges: DataFrame, resolution: float = 1.0, passes: int = 20, most_ed
     return rows.groupBy(F.lit("all")).applyInPandas(move, "node long, community long")
 
 
-def chain(snapshots: DataFrame, head: str, most: int = 1000) -> DataFrame:
-    """Snapshots from `head` along parents, newest first. The chain's keys are three columns a commit, so the walk is
-    doubled: after k rounds each row knows its ancestor 2^k up."""
+def chain(snapshots: DataFrame, head: str) -> DataFrame:
+    """Snapshots from `head` along parents, newest first, to the end. The walk is doubled: after k rounds each row knows its
+    ancestor 2^k up. A hash is of what came before it, so a chain has no cycle."""
     jump = snapshots.select("snapshot_hash", F.col("parent_hash").alias("up"))
     found = snapshots.sparkSession.createDataFrame([(head, 0)], "snapshot_hash string, at int")
     step, size = jump, 1
-    while size <= most:
+    while True:
         more = found.join(step, "snapshot_hash").filter("up is not null").select(F.col("up").alias("snapshot_hash"), (F.col("at") + size).alias("at"))
         more = cut(more, "chain")
         if not more.limit(1).count():
