@@ -15,6 +15,7 @@ from graphloom.operators import relational as rel
 from graphloom.plans import derived
 from graphloom.plans.derived import NEXT_USER_SQL, RUNTIME_SQL, RUNTIME_WHOLE_SQL, USER_SQL, graph_sql, table
 from graphloom.plans.lineage import cut
+from graphloom.queries import retrieval as _retrieval  # noqa: F401
 from graphloom.queries import snapshots as _snapshots  # noqa: F401  they register themselves
 from graphloom.queries import store as _store  # noqa: F401
 from graphloom.registry import NOW, QUERIES, SQL, query
@@ -483,11 +484,6 @@ def bm25_top_k(spark, d):
     return retrieval.bm25(table(spark, d, "documents").select("doc_id", "text"), "doc_id", {"text": 1.0}, TERMS, 50)
 
 
-@query("WITH t AS (SELECT p_name, CASE WHEN lower(p_name) = 'part' THEN 1 WHEN starts_with(lower(p_name), 'part') THEN 2 WHEN contains(lower(p_name), 'part') THEN 3 END AS tier FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY p_name) AS k FROM t WHERE tier IS NOT NULL) SELECT p_name, tier FROM r WHERE k <= CASE tier WHEN 1 THEN 20 WHEN 2 THEN 30 ELSE 40 END")
-def tiered_search(spark, d):
-    return retrieval.tiered(table(spark, d, "part").select("p_name"), "p_name", "part")
-
-
 @query("WITH a AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS rank FROM part ORDER BY 2 LIMIT 100), b AS (SELECT p_partkey, row_number() OVER (ORDER BY p_size DESC, p_partkey) - 1 AS rank FROM part ORDER BY 2 LIMIT 100) SELECT p_partkey, round(sum(s), 9) AS score FROM (SELECT p_partkey, 2.0::DOUBLE / (60 + rank + 1) AS s FROM a UNION ALL SELECT p_partkey, 1.5::DOUBLE / (60 + rank + 1) FROM b) GROUP BY 1 ORDER BY score DESC, p_partkey LIMIT 40")
 def rrf_fusion(spark, d):
     from pyspark.sql.window import Window
@@ -503,30 +499,11 @@ def cosine_top_k(spark, d):
     return retrieval.vector_top_k(e, "vec_id", "embedding", [float(x) for x in e.filter("vec_id = 0").first()["embedding"]], 20)
 
 
-RANK_SQL = "rk AS (SELECT event_type || user_id AS symbol, count(*) AS callers, round(avg(value) / 100, 6) AS confidence, min(event_id % 5) AS distance, max(event_id % 100) AS age_days, round(max(value) / 200 - 0.2, 6) AS feedback, 0.1::DOUBLE AS session, user_id % 10 = 0 AS is_test FROM events GROUP BY event_type, user_id)"
-
-
-def _rank_rows(spark, d):
-    e = table(spark, d, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("callers"), F.round(F.avg("value") / 100, 6).alias("confidence"), F.min(F.col("event_id") % 5).alias("distance"), F.max(F.col("event_id") % 100).alias("age_days"), F.round(F.max("value") / 200 - 0.2, 6).alias("feedback"))
-    return e.select(F.concat("event_type", F.col("user_id").cast("string")).alias("symbol"), "callers", "confidence", "distance", "age_days", "feedback", F.lit(0.1).alias("session"), (F.col("user_id") % 10 == 0).alias("is_test"))
-
-
-@query(f"WITH {RANK_SQL} SELECT symbol, round((0.35 * callers / (SELECT greatest(max(callers), 1) FROM rk) + 0.2 * confidence + 0.15 * CASE WHEN age_days <= 1 THEN 1.0 WHEN age_days <= 7 THEN 0.8 WHEN age_days <= 30 THEN 0.5 WHEN age_days <= 90 THEN 0.3 ELSE 0.1 END + 0.15 / (1 + distance) + CASE WHEN feedback > 0 THEN 0.25 * feedback ELSE 0.05 * feedback END + 0.2 * session) * CASE WHEN is_test THEN 0.15 ELSE 1.0 END, 6) AS score FROM rk")
-def rank_symbols(spark, d):
-    return retrieval.rank_symbols(_rank_rows(spark, d))
-
-
 @query(f"{G} SELECT node_hash, greatest(CAST(floor(strlen(qualified_name || ' ' || kind || ' ' || name) / 4) AS BIGINT), 1) AS cost FROM nodes")
 def token_cost(spark, d):
     return derived.nodes(spark, d).select("node_hash", identity.token_cost(F.col("qualified_name"), F.col("kind"), F.col("name")).alias("cost"))
 
 
-@query()
-def knapsack_pack(spark, d):
-    rows = retrieval.rank_symbols(_rank_rows(spark, d))
-    return retrieval.pack(rows.withColumn("cost", F.length("symbol").cast("long")), 2000)
-
-
 @query("SELECT coalesce(a.s, b.s) AS symbol, CASE WHEN a.s IS NULL THEN 'added' WHEN b.s IS NULL THEN 'removed' ELSE 'unchanged' END AS change FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS s FROM orders WHERE o_orderkey % 3 = 0) a FULL JOIN (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS s FROM orders WHERE o_orderkey % 3 = 1) b ON a.s = b.s")
 def pack_delta(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("symbol"), (F.col("o_orderkey") % 3).alias("k"))
