@@ -15,9 +15,11 @@ from graphloom.operators import relational as rel
 from graphloom.plans import derived
 from graphloom.plans.derived import NEXT_USER_SQL, RUNTIME_SQL, RUNTIME_WHOLE_SQL, USER_SQL, graph_sql, table
 from graphloom.plans.lineage import cut
+from graphloom.queries import communities as _communities  # noqa: F401
 from graphloom.queries import retrieval as _retrieval  # noqa: F401
 from graphloom.queries import snapshots as _snapshots  # noqa: F401  they register themselves
 from graphloom.queries import store as _store  # noqa: F401
+from graphloom.queries import traces as _traces  # noqa: F401
 from graphloom.registry import NOW, QUERIES, SQL, query
 
 
@@ -199,11 +201,6 @@ def upsert_keep_latest(spark, d):
     return rel.keep_latest(rows, "user_id", "event_id").select("user_id", "event_type", "event_id")
 
 
-@query(f"WITH {FEEDBACK_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sec DESC, id DESC) AS k FROM fb) SELECT session_id, symbol_hash AS symbol, round(least(sum(exp(-0.6931471805599453 / 180000 * ({NOW} - sec))), 2.0), 6) AS boost FROM r WHERE k <= 20 GROUP BY 1, 2 HAVING round(least(sum(exp(-0.6931471805599453 / 180000 * ({NOW} - sec))), 2.0), 6) > 0.01")
-def session_boost(spark, d):
-    return rel.session_boosts(_feedback(spark, d).withColumnRenamed("symbol_hash", "symbol"), NOW, half_life=180_000.0)
-
-
 @query("""WITH r AS (SELECT lang AS query, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, d.doc_id) AS rank, l.quality AS relevant FROM documents d JOIN labels l USING (doc_id)),
 t AS (SELECT query, sum(relevant) AS total FROM r GROUP BY 1),
 g AS (SELECT query, sum(CASE WHEN rank <= 10 THEN relevant ELSE 0 END) AS hits, sum(CASE WHEN rank <= 10 AND relevant = 1 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, min(CASE WHEN relevant = 1 THEN rank END) AS first FROM r GROUP BY 1)

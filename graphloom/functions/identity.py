@@ -38,7 +38,7 @@ def keyword_cluster(keywords: Column) -> Column:
 
 def package_of(qualified: Column) -> Column:
     """After the last `://`, up to the first dot after the last slash; null without either."""
-    return F.regexp_extract(qualified, r"^.*://((?:[^/]*/)*[^/.]*)\.", 1)
+    return F.nullif(F.regexp_extract(qualified, r"^.*://((?:[^/]*/)*[^/.]*)\.", 1), F.lit(""))
 
 
 def terminal_name(qualified: Column) -> Column:
@@ -50,11 +50,6 @@ def parent_name(qualified: Column) -> Column:
     return F.regexp_extract(qualified, r"^(.*)\.[^.]*$", 1)
 
 
-def camel_words(name: Column) -> Column:
-    """Words of an identifier: a new one where lower turns upper, and ahead of the last of a run of uppers."""
-    return F.filter(F.regexp_extract_all(name, F.lit(r"([A-Z]+(?![a-z])|[A-Z]?[a-z0-9]+)"), F.lit(1)), lambda w: F.length(w) > 1)
-
-
 def token_set(text: Column) -> Column:
     """Distinct lower-case words of three letters or more."""
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda w: F.length(w) >= 3))
@@ -84,10 +79,11 @@ def token_cost(qualified: Column, kind: Column, signature: Column) -> Column:
 
 
 def edge_type_of(attributes: Column) -> Column:
-    """The kind of edge that a span's attributes tell."""
+    """The kind of runtime edge that a span's attributes tell."""
     has = lambda k: F.map_contains_key(attributes, k)
-    kind = F.element_at(attributes, "messaging.operation")
-    return F.when(has("http.method"), "calls").when(has("rpc.service"), "rpc").when(kind == "publish", "produces").when(kind.isin("receive", "process"), "consumes").otherwise("calls")
+    queue = F.coalesce(F.try_element_at(attributes, F.lit("messaging.system")), F.lit("")) != ""
+    kind = F.when(has("http.method"), "runtime_calls").when(has("rpc.service"), "runtime_rpc")
+    return kind.when(queue & has("messaging.destination"), "runtime_produces").when(queue, "runtime_consumes").otherwise("runtime_calls")
 
 
 def confidence_bucket(total: Column) -> Column:

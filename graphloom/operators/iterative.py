@@ -156,9 +156,10 @@ def label_propagation(edges: DataFrame, rounds: int = 3, stable: bool = False) -
     return labels
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, passes: int = 20, most_edges: int = 2_000_000) -> DataFrame:
+def louvain(edges: DataFrame, resolution: float = 1.0, passes: int = 20, most_edges: int = 2_000_000, former: dict | None = None, changed: set | None = None) -> DataFrame:
     """Local moving of single nodes in order of id until no move gains: sequential by nature, so one task; larger graphs
-    are refused (label_propagation scales)."""
+    are refused (label_propagation scales). From a former result (node: community) only the changed nodes move; new
+    nodes begin alone."""
     import pandas as pd
 
     rows = edges.select("u", "v", "w")
@@ -173,17 +174,23 @@ def louvain(edges: DataFrame, resolution: float = 1.0, passes: int = 20, most_ed
         order = sorted(near)
         degree = {a: sum(near[a].values()) for a in order}
         double = sum(degree.values())
-        home, mass = {a: a for a in order}, dict(degree)
+        home = {a: a for a in order}
+        if former:
+            home = {a: ("old", former[a]) if a in former else ("new", a) for a in order}
+        mass: dict = {}
+        for a in order:
+            mass[home[a]] = mass.get(home[a], 0.0) + degree[a]
+        moving = order if not former else [a for a in order if changed and a in changed]
         for _ in range(passes):
             moved = False
-            for a in order:
+            for a in moving:
                 links: dict[int, float] = {}
                 for b, w in sorted(near[a].items()):
                     if b != a:
                         links[home[b]] = links.get(home[b], 0.0) + w
                 mass[home[a]] -= degree[a]
                 gain = {c: links.get(c, 0.0) - resolution * degree[a] * mass[c] / double for c in {*links, home[a]}}
-                best = min(gain, key=lambda c: (-gain[c], c))
+                best = min(gain, key=lambda c: (-gain[c], str(c)) if former else (-gain[c], c))
                 if gain[best] > gain[home[a]] + 1e-12:
                     home[a], moved = best, True
                 mass[home[a]] += degree[a]

@@ -163,13 +163,6 @@ def verdicts(scored: DataFrame, key: str, at: float = 0.3) -> DataFrame:
     return g.withColumn("verdict", F.when((F.col("flagged") >= 2) & (F.col("flagged") / F.col("files") >= 0.1), "suspicious").when(F.col("flagged") >= 1, "review").otherwise("clean"))
 
 
-def session_boosts(accesses: DataFrame, now: int, last: int = 20, half_life: float = 180.0) -> DataFrame:
-    """Decayed counts over each session's last accesses, 2 at most, small ones dropped."""
-    recent = accesses.withColumn("k", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("at"), F.desc("id")))).filter(F.col("k") <= last)
-    g = recent.groupBy("session_id", "symbol").agg(F.sum(F.exp(F.lit(-0.6931471805599453 / half_life) * (F.lit(now) - F.col("at")))).alias("b"))
-    return g.select("session_id", "symbol", F.round(F.least("b", F.lit(2.0)), 6).alias("boost")).filter("boost > 0.01")
-
-
 def decay_confidence(runtime: DataFrame, now: int) -> DataFrame:
     c = identity.confidence_of_count(F.col("observation_count"))
     return runtime.withColumn("confidence", identity.decayed(c, age_days(F.col("last_observed"), now)))
