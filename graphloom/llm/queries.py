@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.OP4_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
+    return {"op2_urls": urls.OP2_SQL, "op4_warc": warc.OP4_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
