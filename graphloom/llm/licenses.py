@@ -49,23 +49,23 @@ LEAST, SKIP, COVERED = 4, 6, 0.6
 
 
 class Automaton:
-    """Generalised suffix automaton over word keys; each state knows where one of its strings ends in each template."""
+    """Generalised suffix automaton over word keys; each state knows all places where its strings end in each template."""
 
     def __init__(self, texts: list[np.ndarray]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[dict[int, set[int]]] = [{}]
         last_of = []
         for number, words in enumerate(texts):
             last = 0
             for at, word in enumerate(words.tolist()):
                 last = self._extend(last, word)
-                self.ends[last].setdefault(number, at + 1)
+                self.ends[last].setdefault(number, set()).add(at + 1)
             last_of.append(last)
         order = sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True)
         for v in order:  # a state's shorter strings end where its longer ones do
-            for number, at in self.ends[v].items():
-                self.ends[self.link[v]].setdefault(number, at)
+            for number, places in self.ends[v].items():
+                self.ends[self.link[v]].setdefault(number, set()).update(places)
         self.whole = {v: [k for k, x in enumerate(last_of) if x == v] for v in set(last_of)}
         keys = [x for t in texts for x in t.tolist()]
         self.words = np.array(sorted(set(keys)), np.uint64)
@@ -164,21 +164,36 @@ class Scanner:
         return out
 
     def chain(self, runs: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Chains of matches (end, length, state) that go on in a template within SKIP words of where they stopped."""
+        """Chains of matches (end, length, state) that go on in a template within SKIP words of where they stopped.
+
+        A match that stands at several places of a template goes on with the chain that it fits best at each, and begins
+        one where it fits none. Of chains of one template over the same words the one that covers most is kept.
+        """
         open_: dict[int, list[list[int]]] = {}
+        done: dict[int, list[list[int]]] = {}
         for end, n, v in runs:
-            for k, stop in self.automaton.ends[v].items():
+            for k, stops in self.automaton.ends[v].items():
                 if k < self.n_phrases or self.size[k] < LEAST:
                     continue
-                chains = open_.setdefault(k, [])
-                if chains and 0 <= stop - n - chains[-1][3] + SKIP <= 2 * SKIP and end - n - chains[-1][1] <= SKIP:
-                    last = chains[-1]
-                    fresh = min(n, stop - last[3], end - last[1])
+                chains, live = done.setdefault(k, []), []
+                for x in open_.get(k, ()):  # matches begin later and later, so what lies too far back stays so
+                    (live if end - n - x[1] <= SKIP else chains).append(x)
+                open_[k] = live
+                for stop in sorted(stops):
+                    fit = [x for x in live if x[1] < end and abs(stop - n - x[3]) <= SKIP]
+                    fresh, last = max(((min(n, stop - x[3], end - x[1]), x) for x in fit), key=lambda y: (y[0], y[1][2]), default=(0, None))
                     if fresh > 0:
                         last[1], last[2], last[3] = end, last[2] + fresh, stop
-                else:
-                    chains.append([end - n, end, n, stop])
-        return sorted((self.labels[k], x[0], x[1], x[2] / self.size[k]) for k, chains in open_.items() for x in chains if x[2] >= COVERED * self.size[k])
+                    elif not fit:
+                        live.append([end - n, end, n, stop])
+        out = []
+        for k, chains in ((k, done[k] + open_[k]) for k in open_):
+            kept: list[list[int]] = []
+            for x in sorted(chains, key=lambda x: (-x[2], x[0])):
+                if x[2] >= COVERED * self.size[k] and all(x[1] <= y[0] or y[1] <= x[0] for y in kept):
+                    kept.append(x)
+            out += [(self.labels[k], x[0], x[1], x[2] / self.size[k]) for x in kept]
+        return sorted(out)
 
 
 SPAN = pa.struct([("label", pa.string()), ("first", pa.int64()), ("stop", pa.int64()), ("covered", pa.float64())])
@@ -189,7 +204,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """A row for each row of docs: places of phrases, labels of phrases and of covered templates, spans, score.
 
     The score is 1 with a phrase, else the largest share of a template that a chain covers, else 0. Null and empty
-    texts have no words, no labels (empty strings) and score 0.
+    texts have no words, no labels (empty strings) and score 0; repeated rows each count, ties of chains go to the earlier;
+    an empty table gives no rows; other columns don't count.
     """
     common.tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Scanner())
