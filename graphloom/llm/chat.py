@@ -130,12 +130,35 @@ def fit(rows: DataFrame, train_rows: int = TRAIN_ROWS) -> Hmm:
 OUT = "conv_id long, turn long, role string, place long, role_pred string, n_rows long, n_lines int, n_switches int, rendered string"
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows with place (from 0 in their conversation), part (its block) and former (the role before).
+
+    Rows are dealt by ranges of their order, so a conversation of any size, also one whose turns are all equal or null,
+    lies in as many tasks as it needs; a range's first conversation is told how many of its rows lie before.
+    """
+    order = ["turn", "role", "th"]
+    known = rows.filter("conv_id is not null").withColumn("th", F.xxhash64("text"))
+    ranged = common.cut(known.repartitionByRange("conv_id", *order).withColumn("range", F.spark_partition_id()), "turns")
+    sizes = ranged.groupBy("range", "conv_id").agg(F.count("*").alias("n"), F.max_by("role", F.struct(*order)).alias("last"))
+    on = sizes.selectExpr("range", "conv_id", "sum(n) over (partition by conv_id order by range rows between unbounded preceding and 1 preceding) as ahead", "lag(last) over (partition by conv_id order by range) as last")
+    here = "over (partition by range, conv_id order by turn, role, th)"
+    own = ranged.selectExpr("*", f"row_number() {here} - 1 as at", f"lag(role) {here} as before")
+    own = own.join(F.broadcast(on.filter("ahead > 0")), ["range", "conv_id"], "left")  # at most one a range
+    place = (F.col("at") + F.coalesce("ahead", F.lit(0))).cast("long")
+    own = own.withColumns({"place": place, "former": F.when(F.col("at") == 0, F.col("last")).otherwise(F.col("before"))})
+    own = own.withColumn("part", F.floor(F.col("place") / BLOCK).cast("long"))
+    columns = [*rows.columns, "part", "place", "former"]
+    alone = rows.filter("conv_id is null").withColumns({"former": F.lit(None).cast("string"), "place": F.lit(0).cast("long"), "part": F.lit(0).cast("long")})
+    return common.cut(own.select(columns).unionByName(alone.select(columns)), "placed")
+
+
 def format_chats(conversations: DataFrame) -> DataFrame:
     """A row for each distinct row: its recovered role, lines, changes of speaker within it, and canonical text.
 
     The canonical text has `<|role|>` on a line, the turn's lines without markers and outer blanks, and
     `<|end|>` on a line; a row in which the speaker changes is written as several turns. role_pred is the first
-    line's speaker. Equal rows are one row with their number in n_rows. A conversation is its rows by turn (then role and text);
+    line's speaker. Equal rows are one row with their number in n_rows. A conversation is its rows by turn (nulls first, then by role
+    and a hash of the text);
     rows without conv_id are conversations of their own; null texts are empty ones; unknown or null roles are only
     not learned from.
     """
@@ -143,20 +166,10 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     common.tune(spark)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n_rows"))
-    # a row's place in its conversation: by blocks of turns first, so that a long conversation is not one task
-    turn = F.coalesce("turn", F.lit(-1).cast("long"))
-    rows = rows.withColumn("part", F.floor(turn / BLOCK).cast("long"))
-    rows = common.cut(rows, "turns")
-    in_part = "row_number() over (partition by conv_id, part order by turn, role, text) - 1"
-    counts = rows.filter("conv_id is not null").groupBy("conv_id", "part").agg(F.count("*").alias("n"))
-    ahead = counts.selectExpr("conv_id", "part", "coalesce(sum(n) over (partition by conv_id order by part rows between unbounded preceding and 1 preceding), 0) as ahead")
-    own = rows.filter("conv_id is not null").selectExpr("*", f"{in_part} as at", "lag(role) over (partition by conv_id, part order by turn, role, text) as former").join(ahead, ["conv_id", "part"])
-    own = own.withColumn("place", F.col("ahead") + F.col("at")).drop("ahead", "at")
-    alone = rows.filter("conv_id is null").withColumns({"former": F.lit(None).cast("string"), "place": F.lit(0).cast("long")})
-    rows = common.cut(own.unionByName(alone.select(own.columns)), "placed")
+    rows = _placed(rows)
     shared = spark.sparkContext.broadcast(fit(rows))
     keyed = rows.withColumn("key", F.when(F.col("conv_id").isNull(), F.xxhash64(F.lit("alone"), "turn", "role", "text")).otherwise(F.xxhash64("conv_id", "part")))
-    keyed = keyed.select("key", "conv_id", "part", "turn", "role", "text", "n_rows", "place").repartition("key").sortWithinPartitions("key", "conv_id", "part", "place", "turn", "role", "text")
+    keyed = keyed.select("key", "conv_id", "part", "turn", "role", "text", "n_rows", "place").repartition("key").sortWithinPartitions("key", "conv_id", "part", "place")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         """Whole (conv_id, part) groups of a sorted partition."""
@@ -231,11 +244,11 @@ def format_chats(conversations: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [x.split()[0] for x in OUT.split(", ")])
 
-    several = common.cut(counts.groupBy("conv_id").agg(F.count("*").alias("parts")).filter("parts > 1").select("conv_id"), "several")
+    several = common.cut(rows.filter("part > 0").select("conv_id").distinct(), "several")
     if several.limit(1).count():
-        tables = keyed.join(several, "conv_id", "left_semi").repartition("key").sortWithinPartitions("key", "conv_id", "part", "place", "turn", "role", "text").mapInArrow(sums, "conv_id long, part long, table array<double>")
+        tables = keyed.join(several, "conv_id", "left_semi").repartition("key").sortWithinPartitions("key", "conv_id", "part", "place").mapInArrow(sums, "conv_id long, part long, table array<double>")
         ends = common.cut(tables.groupBy("conv_id").applyInPandas(joined, "conv_id long, part long, `from` int, last int"), "ends")
-        keyed = keyed.join(ends, ["conv_id", "part"], "left").repartition("key").sortWithinPartitions("key", "conv_id", "part", "place", "turn", "role", "text")
+        keyed = keyed.join(ends, ["conv_id", "part"], "left").repartition("key").sortWithinPartitions("key", "conv_id", "part", "place")
     else:
         keyed = keyed.withColumns({"from": F.lit(None).cast("int"), "last": F.lit(None).cast("int")})
     return keyed.mapInArrow(render, OUT)
