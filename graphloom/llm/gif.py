@@ -129,10 +129,23 @@ def _blocks(data: bytes) -> bytes:
 GREYS = bytes(x for k in range(256) for x in (k, k, k))
 
 
+def _spread() -> bytes:
+    """A palette of 256 different colours, four in each of the histogram's bins: value v gets two high bits of red, green
+    and blue from its six high bits, and four shades within the bin by its two low ones."""
+    out = []
+    for v in range(256):
+        shade = 8 + 16 * (v & 3)
+        out += [((v >> 6) & 3) << 6 | shade, ((v >> 4) & 3) << 6 | shade, ((v >> 2) & 3) << 6 | shade]
+    return bytes(out)
+
+
+COLOURS = _spread()
+
+
 def write(payload: bytes, delay: int = 10) -> bytes:
     """A GIF whose frames' palette indices are the payload (a multiple of WIDTH bytes), one under the other in time."""
     rows = len(payload) // WIDTH
-    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, MOST_ROWS), 0xF7, 0, 0), GREYS]
+    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, MOST_ROWS), 0xF7, 0, 0), COLOURS]
     for at in range(0, rows, MOST_ROWS):
         n = min(MOST_ROWS, rows - at)
         out += [b"\x21\xf9\x04", struct.pack("<BHB", 0x04, delay, 0), b"\0", b"\x2c", struct.pack("<HHHHB", 0, 0, WIDTH, n, 0), b"\x08", _blocks(lzw_encode(payload[at * WIDTH : (at + n) * WIDTH]))]
@@ -223,7 +236,9 @@ def frame_rows(data: bytes) -> list[dict]:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media (a GIF of the text's bytes, padded with 0 to a positive multiple of 64)."""
+    """doc_id, n_bytes and media (a GIF of the text's bytes, padded with 0 to a positive multiple of 64): a row for each of
+    docs', also for null ids and repeated rows. A null text is an empty one, 64 zeros; an empty table gives no rows; a
+    text of over 2 MB is several frames. Other columns of docs don't count."""
     common.tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +257,7 @@ DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def digest(media: DataFrame) -> DataFrame:
-    """What the stored files hold: the payload read back, its hashes, the file's, and the frames' histogram.
+    """What the stored files hold: the payload read back, its hashes, the file's, and the frames' histogram; a row a file.
 
     The feature is the fullest colour bins of the frames as they show, with their pixels: `bin:pixels` of up to
     eight, fullest first, then by bin.
@@ -265,4 +280,5 @@ def digest(media: DataFrame) -> DataFrame:
 
 
 def op7_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(store(common.table(spark, sf_dir, "documents")))
+    """Each text's GIF is stored, in a table in the shared folder, and read back from there."""
+    return digest(common.cut(store(common.table(spark, sf_dir, "documents")), "media"))
