@@ -19,6 +19,7 @@ from graphloom.queries import communities as _communities  # noqa: F401
 from graphloom.queries import retrieval as _retrieval  # noqa: F401
 from graphloom.queries import snapshots as _snapshots  # noqa: F401  they register themselves
 from graphloom.queries import store as _store  # noqa: F401
+from graphloom.queries import tools as _tools  # noqa: F401
 from graphloom.queries import traces as _traces  # noqa: F401
 from graphloom.registry import NOW, QUERIES, SQL, query
 

@@ -283,12 +283,30 @@ def with_verbs(phrases: list[str], verbs: list[str]) -> list[str]:
     return phrases + [f"{v} {p}" for p in phrases if not any(p.startswith(v) and len(p) > len(v) for v in verbs) for v in verbs]
 
 
-def plan(task: str, rules: list[tuple[str, list[str]]], most: int = 4) -> list[str]:
+# Tools and the words of a task that ask for them, and words that ask for nothing.
+TOOL_WORDS = [
+    ("test_scope", ["test", "affected", "scope"]),
+    ("context_for_files", ["changed", "files", "diff", "modified"]),
+    ("blast_radius", ["blast", "radius", "impact", "callers"]),
+    ("flow_between", ["flow", "path", "between", "reach"]),
+    ("communities", ["community", "cluster", "module", "group"]),
+    ("feedback", ["feedback", "useful", "report"]),
+    ("index_repo", ["index", "reindex"]),
+    ("stale_edges", ["stale", "dead", "unused"]),
+    ("semantic_diff", ["diff", "snapshot", "compare"]),
+    ("context_for_task", ["context", "task", "relevant"]),
+    ("trace_dataflow", ["dataflow", "callees", "downstream"]),
+    ("context_for_pr", ["pr", "pull request", "review"]),
+]
+
+
+def plan(task: str, rules: list[tuple[str, list[str]]] = TOOL_WORDS, most: int = 4) -> list[str]:
     """Tools whose words the task has most of, in order of the rules where equal; the general one if none."""
-    words = set(re.findall(r"[a-z0-9_]+", task.lower()))
-    score = [sum((w in task.lower()) if " " in w else (w in words) for w in rule) for _, rule in rules]
-    best = sorted((k for k in range(len(rules)) if score[k]), key=lambda k: -score[k])[:most]
-    return list(dict.fromkeys(rules[k][0] for k in best)) or ["context_for_task"]
+    low = task.lower()
+    words = set(re.findall(r"[^\W_]{2,}", low))
+    score = [sum((w in low) if " " in w else (w in words) for w in asked) for _, asked in rules]
+    best = sorted((k for k in range(len(rules)) if score[k]), key=lambda k: -score[k])
+    return list(dict.fromkeys(rules[k][0] for k in best))[:most] or ["context_for_task"]
 
 
 def identifiers(text: str) -> list[str]:

@@ -149,6 +149,16 @@ def similar_pairs(docs: DataFrame, group: str, key: str, tokens: str, least: flo
     return cand.join(left, "x").join(right, "y").withColumn("jaccard", F.round(identity.jaccard(F.col("tx"), F.col("ty")), 6)).filter(F.col("jaccard") > least).select("x", "y", "jaccard")
 
 
+def similar_in_groups(docs: DataFrame, group: str, key: str, tokens: str, least: float, most: int = 500) -> DataFrame:
+    """similar_pairs with its group, as the reference forms edges of it: sets of three tokens or more, in groups of two to
+    `most` of them; larger groups give none there, and so none here."""
+    rows = docs.filter(F.size(tokens) >= 3)
+    sizes = rows.groupBy(group).agg(F.count("*").alias("size")).filter(F.col("size").between(2, most))
+    rows = rows.join(sizes.select(group), group, "left_semi")
+    pairs = similar_pairs(rows, group, key, tokens, least)
+    return pairs.join(rows.select(F.col(key).alias("x"), F.col(group).alias("grp")), "x").select("grp", "x", "y", "jaccard")
+
+
 def isolation(calls: DataFrame) -> DataFrame:
     """Score of each file from its inbound edges and dangerous outbound ones; `hooked` raises it by half."""
     quiet = 1 - F.least(F.col("inbound"), F.lit(10)) / 10 * 0.7

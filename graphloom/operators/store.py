@@ -144,6 +144,19 @@ def dominant_language(symbols: DataFrame, most: int = 500) -> DataFrame:
     return counts.orderBy(F.desc("n"), "language").limit(1)
 
 
+def dangling_classes(edges: DataFrame, nodes: DataFrame, others: DataFrame | None = None, stdlib: tuple[str, ...] = ()) -> DataFrame:
+    """(class, n) of edges whose target is unknown: cross_repo if another store has it (others: node_hash), stdlib for what
+    is thrown and for imports whose first part is of the library, else truly_dangling."""
+    lost = edges.join(nodes.select(F.col("node_hash").alias("target_hash")), "target_hash", "left_anti")
+    if others is not None:
+        lost = lost.join(others.select(F.col("node_hash").alias("target_hash"), F.lit(True).alias("elsewhere")).distinct(), "target_hash", "left")
+    else:
+        lost = lost.withColumn("elsewhere", F.lit(None).cast("boolean"))
+    where = F.coalesce(F.col("callsite_file"), F.lit("")) if "callsite_file" in edges.columns else F.lit("")
+    library = (F.col("edge_type") == "throws") | ((F.col("edge_type") == "imports") & F.substring_index(where, "/", 1).isin(*stdlib)) if stdlib else F.col("edge_type") == "throws"
+    return lost.groupBy(F.when(F.col("elsewhere"), "cross_repo").when(library, "stdlib").otherwise("truly_dangling").alias("class")).agg(F.count("*").alias("n"))
+
+
 # ---------------------------------------------------------------- snapshots' changes
 
 
