@@ -109,7 +109,8 @@ def _extract(files: DataFrame, what: int, schema: str) -> DataFrame:
 
 def index(files: DataFrame, repo_url: str, former: DataFrame | None = None) -> dict[str, DataFrame]:
     """files, nodes and edges of a tree (see walk). Files whose path and hash stand in `former` (path, content_hash) are
-    passed over. An edge's target is a symbol of that name in the same file, or else external by its first part."""
+    passed over. A file is a node too, from which its imports lead. An edge's target is a symbol of that name in the same
+    file, or else external by its first part."""
     fresh = files if former is None else files.join(former.select("path", "content_hash"), ["path", "content_hash"], "left_anti")
     repo = F.lit(repo_url)
     rows = _extract(fresh, 0, SYMBOL)
@@ -117,9 +118,12 @@ def index(files: DataFrame, repo_url: str, former: DataFrame | None = None) -> d
     file_hash = F.sha2(F.concat(repo, F.lit(":"), "path", F.lit(":"), "content_hash"), 256)
     q = F.concat(repo, F.lit("://"), "path", F.lit("."), "name")
     nodes = rows.select(node.alias("node_hash"), file_hash.alias("file_hash"), q.alias("qualified_name"), "kind", "line", "signature", "doc", "path", "name").dropDuplicates(["node_hash"])
+    own = F.concat(repo, F.lit("://"), "path")
+    as_file = identity.node_hash(repo, F.col("path"), F.lit(""), F.lit("file"))
+    nodes = nodes.unionByName(fresh.select(as_file.alias("node_hash"), file_hash.alias("file_hash"), own.alias("qualified_name"), F.lit("file").alias("kind"), F.lit(1).alias("line"), F.lit("").alias("signature"), F.lit("").alias("doc"), "path", F.lit("").alias("name")))
     listed = fresh.select(file_hash.alias("file_hash"), F.sha2(repo, 256).alias("repo_hash"), "path", "content_hash")
-    by_name = nodes.groupBy("path", "name").agg(F.min("node_hash").alias("h"))
-    last = nodes.groupBy("path", F.substring_index("name", ".", -1).alias("target")).agg(F.min("node_hash").alias("t"))
+    by_name = nodes.filter("name <> ''").groupBy("path", "name").agg(F.min("node_hash").alias("h"))
+    last = nodes.filter("name <> ''").groupBy("path", F.substring_index("name", ".", -1).alias("target")).agg(F.min("node_hash").alias("t"))
     links = _extract(fresh, 1, CALL).distinct().withColumn("full", F.col("target")).withColumn("target", F.substring_index("target", ".", -1))
     j = links.join(by_name.select("path", F.col("name").alias("source"), F.col("h").alias("s")), ["path", "source"], "left").join(last, ["path", "target"], "left")
     source = F.coalesce("s", identity.node_hash(repo, F.col("path"), F.lit(""), F.lit("file")))
