@@ -117,9 +117,13 @@ def _snaps(spark, d):
 
 
 @query(f"""{G}, {LOST}, {SNAP} SELECT (SELECT count(*) FROM edges WHERE source_hash NOT IN (SELECT node_hash FROM kept)) AS dangling_source, (SELECT count(*) FROM edges WHERE target_hash NOT IN (SELECT node_hash FROM kept)) AS dangling_target,
-(SELECT count(*) FROM snaps WHERE parent_hash IS NOT NULL AND parent_hash NOT IN (SELECT snapshot_hash FROM snaps)) AS broken_chain, CAST(0 AS BIGINT) AS bad_edges, CAST(0 AS BIGINT) AS bad_nodes""")
+(SELECT count(*) FROM snaps WHERE parent_hash IS NOT NULL AND parent_hash NOT IN (SELECT snapshot_hash FROM snaps)) AS broken_chain, (SELECT count(*) FROM edges WHERE starts_with(edge_hash, 'a')) AS bad_edges, (SELECT count(*) FROM kept WHERE ends_with(name, '5')) AS bad_nodes""")
 def fsck_counts(spark, d):
-    return rel.fsck_counts(_kept(spark, d), derived.edges(spark, d), _snaps(spark, d))
+    """Edges whose hash begins with `a` are stored under another one, and symbols ending in 5 under another kind."""
+    h = F.col("edge_hash")
+    edges = derived.edges(spark, d).withColumn("edge_hash", F.when(h.startswith("a"), F.reverse(F.concat(h, F.lit("0")))).otherwise(h))
+    nodes = _kept(spark, d).withColumn("kind", F.when(F.col("name").endswith("5"), F.concat("kind", F.lit("?"))).otherwise(F.col("kind")))
+    return rel.fsck_counts(nodes, edges, _snaps(spark, d))
 
 
 # ---------------------------------------------------------------- aggregates

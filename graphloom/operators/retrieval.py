@@ -8,29 +8,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions import identity
+from graphloom.plans.lineage import cut
 
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
-    """(key, term, tf weighted by field, n words): words are runs of letters, digits, `_` and other alphabets."""
-    parts = [docs.select(key, F.explode(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w != "")).alias("term"), F.lit(weight).alias("weight")) for c, weight in fields.items()]
-    words = parts[0]
-    for p in parts[1:]:
-        words = words.unionByName(p)
-    return words
-
-
 def bm25(docs: DataFrame, key: str, fields: dict[str, float], terms: list[str], k: int) -> DataFrame:
     """The k best rows by BM25 (k1 1.2, b 0.75); a field's weight multiplies its term counts.
 
     Only the query's terms are shuffled: lengths come from array sizes in place, counts from a filter.
     """
     words = {c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "") for c in fields}
-    n_words = sum(F.size(w) for w in words.values())
+    split = docs.select(key, *(w.alias(f"words_{c}") for c, w in words.items()))  # once; what follows only counts
     is_term = lambda t: lambda x: x == t
-    tf = [sum((F.size(F.filter(w, is_term(t))) * fields[c] for c, w in words.items()), F.lit(0.0)) for t in terms]
-    rows = docs.select(key, n_words.alias("n"), *(x.alias(f"tf{i}") for i, x in enumerate(tf)))
+    tf = [sum((F.size(F.filter(f"words_{c}", is_term(t))) * weight for c, weight in fields.items()), F.lit(0.0)) for t in terms]
+    n_words = sum((F.size(f"words_{c}") for c in fields), F.lit(0))
+    rows = cut(split.select(key, n_words.alias("n"), *(x.alias(f"tf{i}") for i, x in enumerate(tf))), "counts")
     stats = rows.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     hit = rows.filter(sum((F.col(f"tf{i}") for i in range(len(terms))), F.lit(0.0)) > 0).join(F.broadcast(stats))
     score = F.lit(0.0)
@@ -40,15 +33,6 @@ def bm25(docs: DataFrame, key: str, fields: dict[str, float], terms: list[str],
     return hit.select(key, F.round(score, 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def tiered(rows: DataFrame, name: str, word: str, caps: tuple[int, int, int] = (20, 30, 40)) -> DataFrame:
-    """Exact, prefix and substring matches of a name, each tier capped, in order."""
-    low = F.lower(name)
-    tier = F.when(low == word, 1).when(low.startswith(word), 2).when(low.contains(word), 3)
-    found = rows.select(name, tier.alias("tier")).filter("tier is not null")
-    parts = [found.filter(F.col("tier") == t).orderBy(name).limit(cap) for t, cap in zip((1, 2, 3), caps, strict=True)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
 def fuse(channels: list[tuple[DataFrame, float]], key: str, k: int = 60, most: int = 40) -> DataFrame:
     """Weighted reciprocal rank fusion of channels (key, rank from 0)."""
     rows = None
@@ -63,17 +47,6 @@ def vector_top_k(vectors: DataFrame, key: str, vector: str, query: list[float],
     return vectors.select(key, F.round(identity.cosine(F.col(vector), q), 6).alias("cosine")).orderBy(F.desc("cosine"), key).limit(k)
 
 
-def rank_symbols(rows: DataFrame) -> DataFrame:
-    """Weighted score of callers (of the most), confidence, recency, nearness, with feedback, session and test terms."""
-    top = rows.agg(F.greatest(F.max("callers"), F.lit(1)).alias("top"))
-    age = F.col("age_days")
-    recency = F.when(age <= 1, 1.0).when(age <= 7, 0.8).when(age <= 30, 0.5).when(age <= 90, 0.3).otherwise(0.1)
-    score = 0.35 * F.col("callers") / F.col("top") + 0.2 * F.col("confidence") + 0.15 * recency + 0.15 / (1 + F.col("distance"))
-    score = score + F.when(F.col("feedback") > 0, 0.25 * F.col("feedback")).otherwise(0.05 * F.col("feedback")) + 0.2 * F.col("session")
-    score = score * F.when(F.col("is_test"), 0.15).otherwise(1.0)
-    return rows.join(F.broadcast(top)).select("symbol", F.round(score, 6).alias("score"))
-
-
 def pack(rows: DataFrame, budget: int) -> DataFrame:
     """Greedy by score per token, skipping what no longer fits, then by score.
 

@@ -40,14 +40,15 @@ def test_louvain_finds_cliques(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    rows = [("t", str(k), f"s{k % 3}", "op", {"http.method": "GET", "http.route": f"/r{k % 4}"}, k) for k in range(60)]
-    batch = spark.createDataFrame(rows, "trace_id string, span_id string, service_name string, operation_name string, attributes map<string,string>, k long")
+    rows = [("t", str(k), f"s{k % 3}", "op", "", {"http.method": "GET", "http.route": f"/r{k % 4}"}, k) for k in range(60)] + [("t", "60", "s1", "once", "s2", {}, 60)]
+    batch = spark.createDataFrame(rows, "trace_id string, span_id string, service_name string, operation_name string, peer_service string, attributes map<string,string>, k long")
     batch = batch.withColumn("start_time", F.timestamp_seconds(F.col("k") * 60)).withColumn("duration_ns", F.col("k")).drop("k")
     batch.repartition(3).write.parquet(str(tmp_path / "in"))
-    routes = spark.createDataFrame([("s0", "GET /r0", "known")], "service_name string, route_pattern string, node_hash string")
+    routes = spark.createDataFrame([("s0", "GET /r0", "http_route", "known")], "service_name string, route_pattern string, mapping_type string, node_hash string")
     stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
     q = spans.observe(spans.resolve(stream, routes)).writeStream.outputMode("complete").format("memory").queryName("observed").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     want = sorted(map(tuple, spans.observe(spans.resolve(batch, routes)).collect()))
     assert sorted(map(tuple, spark.sql("select * from observed").collect())) == want
-    assert {r[-1] for r in want} == {0.3, 0.5}
+    # an edge seen five times is as sure as its count says, one seen once as its resolver
+    assert {(r[6], r[4]) for r in want} == {(5, 0.5), (1, 0.3)} and "known" in {r[2] for r in want}
