@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,7 +167,10 @@ def spans_of(window: np.ndarray, start: np.ndarray, size: np.ndarray, doc_first:
 
 def probe(index: DataFrame, items: list[tuple[str, str]], window: int = WINDOW) -> DataFrame:
     """A row for each document of the index with its spans and items."""
-    shared = index.sparkSession.sparkContext.broadcast(Probe(items, window))
+    return _probe(index, index.sparkSession.sparkContext.broadcast(Probe(items, window)))
+
+
+def _probe(index: DataFrame, shared: Broadcast) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p: Probe = shared.value
@@ -211,11 +215,16 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").dropna()
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + size // BLOCK_BYTES
-    parts = [probe(index, [tuple(r) for r in (bench if blocks == 1 else bench.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)).collect()], window) for k in range(blocks)]
-    found = parts[0]
-    if blocks > 1:
-        for x in parts[1:]:
-            found = found.unionByName(x)
+    if blocks == 1:
+        found = probe(index, [tuple(r) for r in bench.collect()], window)
+    else:  # one block after the other, so that no more than one is held by the driver and the executors
+        found = None
+        for k in range(blocks):
+            items = [tuple(r) for r in bench.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()]
+            shared = index.sparkSession.sparkContext.broadcast(Probe(items, window))
+            part = common.cut(_probe(index, shared), "probed")
+            shared.destroy()
+            found = part if found is None else found.unionByName(part)
         found = found.groupBy("shard", "place").applyInPandas(_merge, HIT_SCHEMA)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.stop - s.start)
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "near", "spans")
