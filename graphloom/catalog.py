@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from graphloom.operators import iterative as it
 from graphloom.operators import merkle, retrieval
 from graphloom.operators import relational as rel
 from graphloom.plans import derived
-from graphloom.plans.derived import NEXT_USER_SQL, RUNTIME_SQL, RUNTIME_WHOLE_SQL, USER_SQL, graph_sql, table
+from graphloom.plans.derived import NEXT_USER_SQL, RUNTIME_SQL, graph_sql, table
 from graphloom.plans.lineage import cut
 from graphloom.queries import communities as _communities  # noqa: F401
 from graphloom.queries import retrieval as _retrieval  # noqa: F401
@@ -150,8 +149,8 @@ def hotspots(spark, d):
 
 
 @query(f"WITH {RUNTIME_SQL} SELECT * FROM runtime WHERE service_name = 'svc3' AND route_pattern LIKE '/u/1%'")
-def runtime_edges_by_service(spark, d, runtime=derived.runtime_edges):
-    return rel.runtime_by_service(runtime(spark, d), "svc3", "/u/1%")
+def runtime_edges_by_service(spark, d):
+    return rel.runtime_by_service(derived.runtime_edges(spark, d), "svc3", "/u/1%")
 
 
 ROUTES_SQL = "routes AS (SELECT 'svc' || (range % 20) AS service_name, '/u/' || range || '/click' AS route_pattern FROM range(260))"
@@ -166,16 +165,16 @@ def _middle(runtime: str) -> str:
 
 
 @query(f"WITH {RUNTIME_SQL}, {ROUTES_SQL} SELECT DISTINCT service_name, route_pattern FROM routes LEFT JOIN runtime USING (service_name, route_pattern) WHERE last_observed IS NULL OR last_observed < {NOW - 30 * 86400}")
-def dead_routes(spark, d, runtime=derived.runtime_edges):
-    return rel.dead_routes(_routes(spark), runtime(spark, d), NOW - 30 * 86400)
+def dead_routes(spark, d):
+    return rel.dead_routes(_routes(spark), derived.runtime_edges(spark, d), NOW - 30 * 86400)
 
 
 AGE = f"(({NOW} - last_observed) / 86400.0)"
 
 
 @query(f"WITH {RUNTIME_SQL} SELECT service_name, route_pattern, CAST(CASE WHEN {AGE} > 90 THEN 0.0 WHEN {AGE} > 30 THEN 0.2 WHEN observation_count > 1000 THEN 0.95 WHEN observation_count >= 100 THEN 0.85 WHEN observation_count >= 10 THEN 0.7 WHEN observation_count >= 1 THEN 0.5 ELSE 0.2 END AS DOUBLE) AS confidence FROM runtime")
-def confidence_decay(spark, d, runtime=derived.runtime_edges):
-    return rel.decay_confidence(runtime(spark, d), NOW).select("service_name", "route_pattern", "confidence")
+def confidence_decay(spark, d):
+    return rel.decay_confidence(derived.runtime_edges(spark, d), NOW).select("service_name", "route_pattern", "confidence")
 
 
 FEEDBACK_SQL = "fb AS (SELECT event_type || (user_id % 40) AS symbol_hash, 's' || (user_id % 7) AS session_id, CAST(value > 50 AS INT) AS useful, event_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events)"
@@ -246,17 +245,8 @@ def overrides_edges(spark, d):
     return own.join(m.select(F.col("t").alias("iface"), "m", F.col("id").alias("target")), ["iface", "m"]).select("source", "target")
 
 
-@query("WITH h AS (SELECT DISTINCT l_orderkey % 500 AS f, l_partkey % 100 AS t FROM lineitem), i AS (SELECT DISTINCT l_suppkey AS impl, l_partkey % 100 AS t FROM lineitem) SELECT DISTINCT f AS source, impl AS target FROM h JOIN i USING (t) WHERE f < 20 AND impl < 20")
-def interface_hints(spark, d):
-    li = table(spark, d, "lineitem")
-    h = li.select((F.col("l_orderkey") % 500).alias("source"), (F.col("l_partkey") % 100).alias("t")).filter("source < 20").distinct()
-    i = li.select(F.col("l_suppkey").alias("target"), (F.col("l_partkey") % 100).alias("t")).filter("target < 20").distinct()
-    return h.join(i, "t").select("source", "target").distinct()
-
-
 @query("WITH h AS (SELECT DISTINCT l_orderkey AS f, l_partkey AS t FROM lineitem), i AS (SELECT DISTINCT l_suppkey AS impl, l_partkey AS t FROM lineitem) SELECT DISTINCT f AS source, impl AS target FROM h JOIN i USING (t)")
 def interface_hints_whole(spark, d):
-    """All sources and targets; interface_hints is fixed by its SQL to ids below 20."""
     li = table(spark, d, "lineitem")
     return rel.interface_hints(li.select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("t")), li.select(F.col("l_suppkey").alias("target"), F.col("l_partkey").alias("t")))
 
@@ -359,15 +349,15 @@ def _walk_sql(rounds: int = 5) -> str:
     steps = ["p0 AS (SELECT CAST(range AS BIGINT) AS node, CAST(0.25 AS DOUBLE) AS p FROM range(4))"]
     for k in range(1, rounds + 1):
         steps.append(f"p{k} AS (SELECT node, sum(p) AS p FROM (SELECT v AS node, 0.8 * p * s AS p FROM p{k - 1} JOIN share ON u = node UNION ALL SELECT CAST(range AS BIGINT), 0.25 * 0.2 FROM range(4)) GROUP BY 1)")
-    return f"WITH {USER_SQL}, {BOTH}, {', '.join(steps)} SELECT node, round(p / (SELECT max(p) FROM p{rounds}), 6) AS score FROM p{rounds}"
+    return f"WITH {NEXT_USER_SQL}, {BOTH}, {', '.join(steps)} SELECT node, round(p / (SELECT max(p) FROM p{rounds}), 6) AS score FROM p{rounds}"
 
 
 @query(_walk_sql())
 def rwr_fixed_iters(spark, d):
-    return it.random_walk(derived.user_edges(spark, d), spark.range(4).select(F.col("id").alias("node"), F.lit(0.25).alias("s")))
+    return it.random_walk(derived.next_user_edges(spark, d), spark.range(4).select(F.col("id").alias("node"), F.lit(0.25).alias("s")))
 
 
-def _hits_sql(rounds: int = 5, users: str = USER_SQL) -> str:
+def _hits_sql(rounds: int = 5, users: str = NEXT_USER_SQL) -> str:
     steps = ["h0 AS (SELECT node, CAST(1 AS DOUBLE) AS x FROM ns)"]
     for k in range(1, rounds + 1):
         steps += [f"ra{k} AS (SELECT v AS node, sum(x) AS x FROM ue JOIN h{k - 1} ON u = node GROUP BY 1)", f"a{k} AS (SELECT node, x / sqrt(sum(x * x) OVER ()) AS x FROM ra{k})", f"rh{k} AS (SELECT u AS node, sum(x) AS x FROM ue JOIN a{k} ON v = node GROUP BY 1)", f"h{k} AS (SELECT node, x / sqrt(sum(x * x) OVER ()) AS x FROM rh{k})"]
@@ -376,19 +366,19 @@ def _hits_sql(rounds: int = 5, users: str = USER_SQL) -> str:
 
 @query(_hits_sql())
 def hits_fixed_iters(spark, d):
-    return it.hits(derived.user_edges(spark, d))
+    return it.hits(derived.next_user_edges(spark, d))
 
 
 def _labels_sql(rounds: int = 3) -> str:
     steps = ["l0 AS (SELECT DISTINCT u AS node, u AS label FROM sym)"]
     for k in range(1, rounds + 1):
         steps.append(f"l{k} AS (SELECT node, label FROM (SELECT u AS node, label, row_number() OVER (PARTITION BY u ORDER BY sum(w) DESC, label) AS k FROM sym JOIN l{k - 1} ON v = node GROUP BY u, label) WHERE k = 1)")
-    return f"WITH {USER_SQL}, {BOTH}, {', '.join(steps)} SELECT * FROM l{rounds}"
+    return f"WITH {NEXT_USER_SQL}, {BOTH}, {', '.join(steps)} SELECT * FROM l{rounds}"
 
 
 @query(_labels_sql())
 def lpa_sync(spark, d):
-    return it.label_propagation(derived.user_edges(spark, d))
+    return it.label_propagation(derived.next_user_edges(spark, d))
 
 
 @query()
@@ -396,7 +386,7 @@ def louvain(spark, d):
     return it.louvain(derived.next_user_edges(spark, d))
 
 
-# the same over all users and with the reference's rounds and stops; the SQL of the four above but louvain has fewer
+# the same with the reference's rounds and stops
 @query()
 def rwr_whole(spark, d):
     return it.random_walk(derived.next_user_edges(spark, d), spark.range(4).select(F.col("id").alias("node"), F.lit(0.25).alias("s")), 20, settled=1e-3)
@@ -539,12 +529,6 @@ def supply_chain_verdict(spark, d):
 
 
 @query(f"WITH {RUNTIME_SQL} SELECT sha256(concat_ws(chr(0), 'edge', service_name, route_pattern, 'calls', 'otel_trace')) AS edge_hash, observation_count, last_observed, CAST(CASE WHEN observation_count > 1000 THEN 0.95 WHEN observation_count >= 100 THEN 0.85 WHEN observation_count >= 10 THEN 0.7 ELSE 0.5 END AS DOUBLE) AS confidence FROM runtime")
-def span_ingest_runtime_edges(spark, d, runtime=derived.runtime_edges):
-    r = runtime(spark, d)
+def span_ingest_runtime_edges(spark, d):
+    r = derived.runtime_edges(spark, d)
     return r.select(identity.edge_hash(F.col("service_name"), F.col("route_pattern"), F.lit("calls"), F.lit("otel_trace")).alias("edge_hash"), "observation_count", "last_observed", identity.confidence_of_count(F.col("observation_count")).alias("confidence"))
-
-
-# the runtime queries over all users' routes; those above fold them by their SQL
-for _f in (runtime_edges_by_service, dead_routes, confidence_decay, span_ingest_runtime_edges):
-    QUERIES[f"{_f.__name__}_whole"] = functools.partial(_f, runtime=derived.runtime_edges_whole)
-    SQL[f"{_f.__name__}_whole"] = SQL[_f.__name__].replace(RUNTIME_SQL, RUNTIME_WHOLE_SQL)

@@ -118,19 +118,7 @@ def graph(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] | None = None
 
 
 def runtime_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as observed calls: service `svcN` and route by user and event type, with count and last time."""
-    e = table(spark, sf_dir, "events")
-    return e.groupBy(F.concat(F.lit("svc"), (F.col("user_id") % 20).cast("string")).alias("service_name"), F.concat(F.lit("/u/"), (F.col("user_id") % 200).cast("string"), F.lit("/"), "event_type").alias("route_pattern")).agg(F.count("*").alias("observation_count"), F.max(seconds("ts")).alias("last_observed"))
-
-
-def user_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cyclic graph over 500 users: u and v long, w the number of events between them."""
-    e = table(spark, sf_dir, "events")
-    return e.select((F.col("user_id") % 500).alias("u"), ((F.col("user_id") * 31 + F.col("event_id")) % 500).alias("v")).filter("u <> v").groupBy("u", "v").agg(F.count("*").cast("double").alias("w"))
-
-
-def runtime_edges_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runtime edges with a route for each user and event type; runtime_edges folds users to 200 routes, as its SQL does."""
+    """Events as observed calls: a service and route for each user and event type, with count and last time."""
     e = table(spark, sf_dir, "events")
     return e.groupBy("user_id", "event_type").agg(F.count("*").alias("observation_count"), F.max(seconds("ts")).alias("last_observed")).select(
         F.concat(F.lit("svc"), (F.col("user_id") % 20).cast("string")).alias("service_name"), F.concat(F.lit("/u/"), F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("route_pattern"), "observation_count", "last_observed"
@@ -180,7 +168,5 @@ edges AS (SELECT *, sha256(concat_ws(chr(0), 'edge', source_hash, target_hash, e
          CASE edge_type WHEN 'contains' THEN 'structural' ELSE 'ast_resolved' END AS provenance FROM ({" UNION ALL ".join(es)})))"""
 
 
-RUNTIME_SQL = "runtime AS (SELECT 'svc' || (user_id % 20) AS service_name, '/u/' || (user_id % 200) || '/' || event_type AS route_pattern, count(*) AS observation_count, max(CAST(floor(epoch(ts)) AS BIGINT)) AS last_observed FROM events GROUP BY ALL)"
-USER_SQL = "ue AS (SELECT user_id % 500 AS u, (user_id * 31 + event_id) % 500 AS v, CAST(count(*) AS DOUBLE) AS w FROM events WHERE user_id % 500 <> (user_id * 31 + event_id) % 500 GROUP BY ALL)"
-RUNTIME_WHOLE_SQL = "runtime AS (SELECT 'svc' || (user_id % 20) AS service_name, '/u/' || user_id || '/' || event_type AS route_pattern, count(*) AS observation_count, max(CAST(floor(epoch(ts)) AS BIGINT)) AS last_observed FROM events GROUP BY user_id, event_type)"
+RUNTIME_SQL = "runtime AS (SELECT 'svc' || (user_id % 20) AS service_name, '/u/' || user_id || '/' || event_type AS route_pattern, count(*) AS observation_count, max(CAST(floor(epoch(ts)) AS BIGINT)) AS last_observed FROM events GROUP BY user_id, event_type)"
 NEXT_USER_SQL = "ue AS (SELECT u, v, CAST(count(*) AS DOUBLE) AS w FROM (SELECT user_id AS u, lead(user_id) OVER (ORDER BY ts, event_id) AS v FROM events) WHERE v IS NOT NULL GROUP BY ALL)"

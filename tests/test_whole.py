@@ -41,8 +41,8 @@ def test_user_graph_keeps_all_users(spark, tmp_path):
 def test_runtime_edges_keep_all_users(spark, tmp_path):
     rows = _events(spark, tmp_path, [k % 450 for k in range(2000)])
     want = Counter((f"svc{u % 20}", f"/u/{u}/{kind}") for _, _, u, kind in rows)
-    assert {tuple(r)[:2]: r[2] for r in derived.runtime_edges_whole(spark, str(tmp_path)).collect()} == want
-    assert catalog.QUERIES["span_ingest_runtime_edges_whole"](spark, str(tmp_path)).count() == len(want)
+    assert {tuple(r)[:2]: r[2] for r in derived.runtime_edges(spark, str(tmp_path)).collect()} == want
+    assert catalog.QUERIES["span_ingest_runtime_edges"](spark, str(tmp_path)).count() == len(want)
 
 
 def _chain(n):
