@@ -268,11 +268,9 @@ def path_seeds(nodes: DataFrame, contains: DataFrame, terms: list[str], words: l
 def equivalent_nodes(nodes: DataFrame, targets: list[str], most: int) -> DataFrame:
     """(node_hash, qualified_name, rank) of symbols of these names, but for short and generic ones, in the targets' order."""
     good = list(dict.fromkeys(t.lower() for t in targets if len(t) > 3 and t.lower() not in ("call", "post")))
-    name = F.lower(F.substring_index("qualified_name", ".", -1))
-    at = F.lit(None).cast("int")
-    for k, t in reversed(list(enumerate(good))):
-        at = F.when(name == t, k).otherwise(at)
-    hit = nodes.select("node_hash", "qualified_name", at.alias("k")).filter("k is not null").orderBy("k", "qualified_name").limit(most)
+    asked = nodes.sparkSession.createDataFrame(list(enumerate(good)), "k int, t string")  # some thousand names at most
+    names = nodes.select("node_hash", "qualified_name", F.lower(F.substring_index("qualified_name", ".", -1)).alias("t"))
+    hit = names.join(F.broadcast(asked), "t").select("node_hash", "qualified_name", "k").orderBy("k", "qualified_name").limit(most)
     return hit.withColumn("rank", F.row_number().over(Window.orderBy("k", "qualified_name")) - 1).select("node_hash", "qualified_name", "rank")
 
 
