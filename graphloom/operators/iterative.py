@@ -2,24 +2,41 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.plans.lineage import cut
 
 
-def _steps(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """Distinct (node, next), written once: every round of a loop reads it, and none derives it again."""
-    return cut(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct(), "steps")
+#: Rows of a frontier that are broadcast at once: of numbers, and an eighth of it of hashes.
+NEAR = 1 << 20
+#: A frontier of so many times NEAR is taken in slices, one after the other; a larger one is shuffled.
+SLICES = 8
+
+
+def _onward(front: DataFrame, edges: DataFrame, a: str, b: str, *keep: str) -> DataFrame:
+    """Distinct (keep, node) that a written frontier (keep, node) leads to. Edges are read where they lie: none is written or
+    shuffled unless most of the graph is at hand."""
+    step = edges.select(F.col(a).alias("node"), F.col(b).alias("next"))
+    go = lambda part: part.select(*keep, "node").join(step, "node").select(*keep, F.col("next").alias("node")).distinct()
+    most = NEAR if all(front.schema[c].dataType.simpleString() == "bigint" for c in (*keep, "node")) else NEAR // 8
+    slices = -(-front.count() // most)
+    if slices > SLICES:
+        return go(front)
+    if slices < 2:
+        return go(F.broadcast(front))
+    found = [cut(go(F.broadcast(front.filter(F.pmod(F.xxhash64(*keep, "node"), F.lit(slices)) == k))), "slice") for k in range(slices)]
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def reached(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
     """Each node that some start reaches in 1 to `depth` steps, once; a start only if a cycle leads back to one."""
     a, b = ("target_hash", "source_hash") if reverse else ("source_hash", "target_hash")
-    step = _steps(edges, a, b)
-    front, out = seeds.select(F.col("start").alias("node")).distinct(), None
+    front, out = cut(seeds.select(F.col("start").alias("node")).distinct(), "reached"), None
     for _ in range(depth):
-        found = front.join(step, "node").select(F.col("next").alias("node")).distinct()
+        found = _onward(front, edges, a, b)
         front = cut(found if out is None else found.join(out, "node", "left_anti"), "reached")
         out = front if out is None else out.unionByName(front)
     return out
@@ -31,11 +48,10 @@ def closure(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = Fals
     edges: source_hash, target_hash; seeds: start. A round joins the frontier only, so paths never multiply.
     """
     a, b = ("target_hash", "source_hash") if reverse else ("source_hash", "target_hash")
-    step = _steps(edges, a, b)
-    front = seeds.select("start", F.col("start").alias("node"))
+    front = cut(seeds.select("start", F.col("start").alias("node")), "closure")
     out = None
     for d in range(1, depth + 1):
-        front = cut(front.join(step, "node").select("start", F.col("next").alias("node")).distinct(), "closure")
+        front = cut(_onward(front, edges, a, b, "start"), "closure")
         level = front.withColumn("depth", F.lit(d))
         out = level if out is None else out.unionByName(level)
     return out
@@ -50,12 +66,11 @@ def blast_radius(closed: DataFrame, nodes: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, stop: DataFrame | None = None, reverse: bool = False) -> DataFrame:
     """(start, node, depth) with each node once, at its least depth, 0 for the start; nodes in `stop` are not passed."""
     a, b = ("target_hash", "source_hash") if reverse else ("source_hash", "target_hash")
-    step = _steps(edges, a, b)
     seen = cut(seeds.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")), "reach")
     front = seen
     for d in range(1, depth + 1):
         go = front if stop is None else front.join(stop, "node", "left_anti")
-        found = go.join(step, "node").select("start", F.col("next").alias("node")).distinct()
+        found = _onward(go, edges, a, b, "start")
         front = cut(found.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(d)), "reach")
         seen = seen.unionByName(front)
     return seen
@@ -67,32 +82,62 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def distances(edges: DataFrame, seeds: DataFrame, depth: int = 4) -> DataFrame:
     """Least hops from any of the seeds, either way along edges."""
-    one = seeds.select(F.lit("seed").alias("start"), F.col("start").alias("node"))
-    step = _steps(undirected(edges), "source_hash", "target_hash")
-    seen = cut(one.select("node", F.lit(0).alias("depth")).distinct(), "bfs")
+    both = undirected(edges)
+    seen = cut(seeds.select(F.col("start").alias("node"), F.lit(0).alias("depth")).distinct(), "bfs")
     front = seen
     for d in range(1, depth + 1):
-        front = cut(front.join(step, "node").select(F.col("next").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)), "bfs")
+        found = _onward(front, both, "source_hash", "target_hash")
+        front = cut(found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)), "bfs")
         seen = seen.unionByName(front)
     return seen
 
 
-def paths(edges: DataFrame, source: str, target: str, depth: int = 5, most: int = 10) -> DataFrame:
-    """Walks from source to target of at most `depth` edges that stop at the target: shortest first, then by path.
+def between(edges: DataFrame, source, target, depth: int) -> DataFrame:
+    """Distinct edges, among them all those of walks of at most `depth` edges from source to target: the fronts from both
+    ends grow by one step at a time, the smaller one first, until they have made `depth` steps together. The k-th edge of a
+    walk leaves a node that the first front met, or else enters one that the other did."""
+    spark, kind = edges.sparkSession, edges.schema["source_hash"].dataType.simpleString()
+    ends = edges.select("source_hash", "target_hash")
+    seen = [cut(spark.createDataFrame([(x,)], f"node {kind}"), "front") for x in (source, target)]
+    front, size, found = list(seen), [1, 1], []
+    for _ in range(depth):
+        k = 0 if size[0] <= size[1] else 1
+        a, b = ("source_hash", "target_hash") if k == 0 else ("target_hash", "source_hash")
+        near = F.broadcast(front[k]) if size[k] <= (NEAR if kind == "bigint" else NEAR // 8) else front[k]
+        found.append(cut(ends.join(near.withColumnRenamed("node", a), a, "left_semi").select("source_hash", "target_hash").distinct(), "between"))
+        front[k] = cut(found[-1].select(F.col(b).alias("node")).distinct().join(seen[k], "node", "left_anti"), "front")
+        seen[k], size[k] = seen[k].unionByName(front[k]), front[k].count()
+    return cut(reduce(DataFrame.unionByName, found).distinct(), "between")
+
+
+def walks(edges: DataFrame, source, target, depth: int = 5) -> DataFrame:
+    """(hops, path): walks from source to target of at most `depth` edges that stop at the target, as arrays of nodes.
 
     A walk is only lengthened into nodes from which the target can be reached in what is left.
     """
-    near = reach(edges, edges.sparkSession.createDataFrame([(target,)], "start string"), depth, reverse=True).select("node", F.col("depth").alias("left"))
+    spark, kind = edges.sparkSession, edges.schema["source_hash"].dataType.simpleString()
+    step = between(edges, source, target, depth)
+    near = reach(step, spark.createDataFrame([(target,)], f"start {kind}"), depth, reverse=True).select("node", F.col("depth").alias("left"))
     near = cut(near, "near")
-    step = _steps(edges, "source_hash", "target_hash")
-    front = edges.sparkSession.createDataFrame([(source, [source])], "node string, path array<string>")
+    step = step.select(F.col("source_hash").alias("node"), F.col("target_hash").alias("next"))
+    front = spark.createDataFrame([(source, [source])], f"node {kind}, path array<{kind}>")
     out = None
     for d in range(1, depth + 1):
         front = cut(front.join(step, "node").select(F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path")).join(near.filter(F.col("left") <= depth - d), "node").drop("left"), "paths")
-        done = front.filter(F.col("node") == target).select(F.lit(d).alias("hops"), F.array_join("path", ">").alias("path"))
+        done = front.filter(F.col("node") == F.lit(target)).select(F.lit(d).alias("hops"), "path")
         out = done if out is None else out.unionByName(done)
-        front = front.filter(F.col("node") != target)
-    return out.orderBy("hops", "path").limit(most)
+        front = front.filter(F.col("node") != F.lit(target))
+    return out
+
+
+def first_paths(found: DataFrame, most: int = 10) -> DataFrame:
+    """The shortest of paths (hops, path as an array of hashes), ties by path, joined by `>`."""
+    return found.select("hops", F.array_join("path", ">").alias("path")).orderBy("hops", "path").limit(most)
+
+
+def paths(edges: DataFrame, source, target, depth: int = 5, most: int = 10) -> DataFrame:
+    """Walks from source to target of at most `depth` edges that stop at the target: shortest first, then by path."""
+    return first_paths(walks(edges, source, target, depth), most)
 
 
 def random_walk(edges: DataFrame, seeds: DataFrame, rounds: int = 5, alpha: float = 0.2, settled: float | None = None) -> DataFrame:

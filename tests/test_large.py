@@ -5,6 +5,7 @@ import os
 import pytest
 
 from graphloom import catalog
+from graphloom.operators import iterative
 from graphloom.plans import derived
 from graphloom.plans.lineage import shared_dir
 
@@ -13,7 +14,7 @@ def _written(spark):
     return {d for d in os.listdir(shared_dir(spark).removeprefix("file://")) if d.startswith("graphloom-")}
 
 
-@pytest.mark.parametrize("name", ["all_edges"])
+@pytest.mark.parametrize("name", ["all_edges", "blast_radius"])
 def test_graph_is_not_written(spark, tables, tmp_path, name):
     """Three hashes an edge took 20 times the tables' room."""
     (tmp_path / "in").symlink_to(tables)  # a path of its own: nothing that another test left is read
@@ -28,3 +29,27 @@ def test_numbers_are_hashed_as_keys_are(spark):
     for prefix in derived.ENTITIES:
         got = derived.hashed(rows.select(derived.number(prefix, "k").alias("n"), derived.node_id(prefix, "k").alias("h")), "n").collect()
         assert all(r["n"] == r["h"] for r in got) and len({r["h"] for r in got}) == len(keys)
+
+
+def test_frontiers_in_slices_and_shuffled(spark, monkeypatch):
+    """A frontier beyond the rows that are broadcast gives the same nodes, as do fronts from both ends for paths."""
+    rows = [(k, (k * 7 + j) % 500) for k in range(500) for j in range(3)] * 2
+    edges = spark.createDataFrame(rows, "source_hash long, target_hash long")
+    seeds = spark.createDataFrame([(k,) for k in range(5)], "start long")
+    found = lambda: sorted(map(tuple, iterative.distances(edges, seeds, 4).collect()))
+    ways = [tuple(r) for r in iterative.paths(edges, 0, 3, 4, 30).collect()]
+    want, level = dict.fromkeys(range(5), 0), set(range(5))
+    for d in range(1, 5):
+        level = {y for a, b in rows for x, y in ((a, b), (b, a)) if x in level} - set(want)
+        want |= dict.fromkeys(level, d)
+    assert found() == sorted(want.items())
+    monkeypatch.setattr(iterative, "NEAR", 40)
+    assert found() == sorted(want.items())
+    monkeypatch.setattr(iterative, "SLICES", 1)
+    assert found() == sorted(want.items())
+    out, front = [], [(0,)]
+    for _ in range(4):
+        front = [(*p, b) for p in front for a, b in sorted(set(rows)) if a == p[-1]]
+        out += [(len(p) - 1, ">".join(map(str, p))) for p in front if p[-1] == 3]
+        front = [p for p in front if p[-1] != 3]
+    assert ways == sorted(out)[:30]
