@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions import identity
+from graphloom.plans.lineage import cut
 
 DAY = 86_400
 
@@ -135,18 +136,28 @@ def retarget(edges: DataFrame, nodes: DataFrame, repos: DataFrame) -> DataFrame:
 def similar_pairs(docs: DataFrame, group: str, key: str, tokens: str, least: float) -> DataFrame:
     """Pairs of one group whose token sets overlap more than `least`, through shared tokens and not all pairs.
 
-    Prefix filtering: two sets of Jaccard over t share one of each other's rarest |x| - ceil(t |x|) + 1 tokens.
+    Rows of equal sets are a class: classes are compared, and their pairs are expanded to rows at the end, as are the pairs
+    within a class. Prefix filtering: two sets of Jaccard over t share one of each other's rarest |x| - ceil(t |x|) + 1 tokens.
     """
-    rows = docs.select(group, key, tokens, F.size(tokens).alias("n")).filter("n > 0")
-    token = rows.select(group, key, "n", F.explode(tokens).alias("t"))
+    rows = docs.select(group, key, F.sort_array(tokens).alias("set")).filter(F.size("set") > 0).withColumn("c", F.md5(F.array_join("set", "\0").cast("binary")))
+    members = cut(rows.select(group, "c", key), "members")
+    sets = cut(rows.groupBy(group, "c").agg(F.first("set").alias("set")).withColumn("n", F.size("set")), "sets")
+    token = sets.select(group, "c", "n", F.explode("set").alias("t"))
     freq = token.groupBy(group, "t").agg(F.count("*").alias("df"))
-    ranked = token.join(freq, [group, "t"]).withColumn("r", F.row_number().over(Window.partitionBy(group, key).orderBy("df", "t")))
-    prefix = ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select(group, key, "n", "t")
+    ranked = token.join(freq, [group, "t"]).withColumn("r", F.row_number().over(Window.partitionBy(group, "c").orderBy("df", "t")))
+    prefix = cut(ranked.filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select(group, "c", "n", "t"), "prefix")
     a, b = prefix.alias("a"), prefix.alias("b")
-    on = (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.t") == F.col("b.t")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (F.col("b.n") >= F.col("a.n") * least) & (F.col("a.n") >= F.col("b.n") * least)
-    cand = a.join(b, on).select(F.col(f"a.{key}").alias("x"), F.col(f"b.{key}").alias("y")).distinct()
-    left, right = rows.select(F.col(key).alias("x"), F.col(tokens).alias("tx")), rows.select(F.col(key).alias("y"), F.col(tokens).alias("ty"))
-    return cand.join(left, "x").join(right, "y").withColumn("jaccard", F.round(identity.jaccard(F.col("tx"), F.col("ty")), 6)).filter(F.col("jaccard") > least).select("x", "y", "jaccard")
+    on = (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.c") < F.col("b.c")) & (F.col("b.n") >= F.col("a.n") * least) & (F.col("a.n") >= F.col("b.n") * least)
+    cand = a.join(b, on).select(F.col(f"a.{group}").alias(group), F.col("a.c").alias("ca"), F.col("b.c").alias("cb")).distinct()
+    left, right = (sets.select(group, F.col("c").alias(f"c{k}"), F.col("set").alias(f"t{k}")) for k in "ab")
+    linked = cand.join(left, [group, "ca"]).join(right, [group, "cb"]).withColumn("jaccard", F.round(identity.jaccard(F.col("ta"), F.col("tb")), 6))
+    linked = cut(linked.filter(F.col("jaccard") > least).select(group, "ca", "cb", "jaccard"), "linked")
+    x, y = (members.select(group, F.col("c").alias(f"c{k}"), F.col(key).alias(f"k{k}")) for k in "ab")
+    across = linked.join(x, [group, "ca"]).join(y, [group, "cb"]).filter("ka <> kb").select(F.least("ka", "kb").alias("x"), F.greatest("ka", "kb").alias("y"), "jaccard")
+    if least >= 1:
+        return across
+    within = x.join(y.withColumnRenamed("cb", "ca"), [group, "ca"]).filter("ka < kb").select(F.col("ka").alias("x"), F.col("kb").alias("y"), F.lit(1.0).alias("jaccard"))
+    return across.unionByName(within)
 
 
 def similar_in_groups(docs: DataFrame, group: str, key: str, tokens: str, least: float, most: int = 500) -> DataFrame:

@@ -5,7 +5,7 @@ import os
 import pytest
 
 from graphloom import catalog
-from graphloom.operators import iterative
+from graphloom.operators import iterative, relational
 from graphloom.plans import derived
 from graphloom.plans.lineage import shared_dir
 
@@ -53,3 +53,13 @@ def test_frontiers_in_slices_and_shuffled(spark, monkeypatch):
         out += [(len(p) - 1, ">".join(map(str, p))) for p in front if p[-1] == 3]
         front = [p for p in front if p[-1] != 3]
     assert ways == sorted(out)[:30]
+
+
+def test_similar_copies_are_a_class(spark):
+    """300 copies of 2 texts are 2 classes: one pair of classes is compared, and not all 89700 pairs of rows."""
+    rows = [("g", k, ["a", "b", "c"] if k % 2 else ["d", "c", "b", "a"]) for k in range(300)] + [("h", 300, ["a", "b", "c"])]
+    docs = spark.createDataFrame(rows, "g string, k long, t array<string>")
+    got = relational.similar_pairs(docs, "g", "k", "t", 0.5)
+    assert sorted(map(tuple, got.collect())) == [(x, y, 1.0 if x % 2 == y % 2 else 0.75) for x in range(300) for y in range(x + 1, 300)]
+    sizes = [spark.read.parquet(f"{shared_dir(spark)}/{d}").count() for d in sorted(_written(spark), key=lambda d: os.path.getmtime(f"{shared_dir(spark).removeprefix('file://')}/{d}")) if d.startswith("graphloom-linked")]
+    assert sizes[-1:] == [1]
