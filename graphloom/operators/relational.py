@@ -33,15 +33,21 @@ def stale_edges(edges: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFra
     return edges.join(sources, "source_hash", "left_semi")
 
 
-def fsck_counts(nodes: DataFrame, edges: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """One row: edges without source, without target, snapshots whose parent is missing, edges and nodes that don't re-hash."""
-    ids = nodes.select("node_hash")
-    no_source = edges.join(ids, F.col("source_hash") == F.col("node_hash"), "left_anti").agg(F.count("*").alias("dangling_source"))
-    no_target = edges.join(ids, F.col("target_hash") == F.col("node_hash"), "left_anti").agg(F.count("*").alias("dangling_target"))
+def fsck_counts(nodes: DataFrame, edges: DataFrame, snapshots: DataFrame, known: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
+    """One row: edges without source, without target, snapshots whose parent is missing, edges and nodes that don't re-hash.
+
+    known and ends may hold nodes and edges with shorter ids in the place of hashes, for the joins. Edges are counted by end
+    before they are joined."""
+    ids = (nodes if known is None else known).select(F.col("node_hash").alias("node"))
+    ends = edges if ends is None else ends
+    sides = F.explode(F.array(F.struct(F.lit(True).alias("source"), F.col("source_hash").alias("node")), F.struct(F.lit(False).alias("source"), F.col("target_hash").alias("node"))))
+    counted = ends.select(sides.alias("s")).groupBy("s.source", "s.node").agg(F.count("*").alias("n")).join(ids, "node", "left_anti")
+    lost = lambda side: F.coalesce(F.sum(F.when(side, F.col("n"))), F.lit(0).cast("long"))
+    dangling = counted.agg(lost(F.col("source")).alias("dangling_source"), lost(~F.col("source")).alias("dangling_target"))
     chain = snapshots.filter("parent_hash is not null").alias("s").join(snapshots.select(F.col("snapshot_hash").alias("p")), F.col("parent_hash") == F.col("p"), "left_anti").agg(F.count("*").alias("broken_chain"))
     bad = edges.agg(F.count_if(identity.edge_hash(F.col("source_hash"), F.col("target_hash"), F.col("edge_type"), F.col("provenance")) != F.col("edge_hash")).alias("bad_edges"))
     bad_nodes = nodes.agg(F.count_if(identity.node_hash(F.col("repo_url"), F.col("package_path"), F.col("name"), F.col("kind")) != F.col("node_hash")).alias("bad_nodes"))
-    return no_source.join(no_target).join(chain).join(bad).join(bad_nodes)
+    return dangling.join(chain).join(bad).join(bad_nodes)
 
 
 def kind_counts(nodes: DataFrame) -> DataFrame:

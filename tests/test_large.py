@@ -14,7 +14,7 @@ def _written(spark):
     return {d for d in os.listdir(shared_dir(spark).removeprefix("file://")) if d.startswith("graphloom-")}
 
 
-@pytest.mark.parametrize("name", ["all_edges", "blast_radius", "transitive_callers", "transitive_callees", "test_scope", "pr_impact_risk", "flow_between_paths", "bfs_distance", "repo_node_edge_counts", "dangling_edges_anti", "bfs_distance_whole", "stale_edges_exists"])
+@pytest.mark.parametrize("name", ["all_edges", "blast_radius", "transitive_callers", "transitive_callees", "test_scope", "pr_impact_risk", "flow_between_paths", "bfs_distance", "repo_node_edge_counts", "dangling_edges_anti", "bfs_distance_whole", "stale_edges_exists", "fsck_counts"])
 def test_graph_is_not_written(spark, tables, tmp_path, name):
     """Three hashes an edge took 20 times the tables' room."""
     (tmp_path / "in").symlink_to(tables)  # a path of its own: nothing that another test left is read
