@@ -201,50 +201,125 @@ def label_propagation(edges: DataFrame, rounds: int = 3, stable: bool = False) -
     return labels
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, passes: int = 20, most_edges: int = 2_000_000, former: dict | None = None, changed: set | None = None) -> DataFrame:
-    """Local moving of single nodes in order of id until no move gains: sequential by nature, so one task; larger graphs
-    are refused (label_propagation scales). From a former result (node: community) only the changed nodes move; new
-    nodes begin alone."""
-    import pandas as pd
-
-    rows = edges.select("u", "v", "w")
-    if rows.count() > most_edges:
-        raise ValueError("louvain is sequential; use label_propagation for a graph of this size")
-
-    def move(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, dict[int, float]] = {}
-        for u, v, w in pdf[["u", "v", "w"]].itertuples(index=False):
-            for a, b in ((u, v), (v, u)):
-                near.setdefault(a, {})[b] = near.get(a, {}).get(b, 0.0) + w
-        order = sorted(near)
-        degree = {a: sum(near[a].values()) for a in order}
-        double = sum(degree.values())
-        home = {a: a for a in order}
-        if former:
-            home = {a: ("old", former[a]) if a in former else ("new", a) for a in order}
-        mass: dict = {}
-        for a in order:
-            mass[home[a]] = mass.get(home[a], 0.0) + degree[a]
-        moving = order if not former else [a for a in order if changed and a in changed]
-        for _ in range(passes):
-            moved = False
-            for a in moving:
-                links: dict[int, float] = {}
-                for b, w in sorted(near[a].items()):
-                    if b != a:
-                        links[home[b]] = links.get(home[b], 0.0) + w
-                mass[home[a]] -= degree[a]
-                gain = {c: links.get(c, 0.0) - resolution * degree[a] * mass[c] / double for c in {*links, home[a]}}
-                best = min(gain, key=lambda c: (-gain[c], str(c)) if former else (-gain[c], c))
-                if gain[best] > gain[home[a]] + 1e-12:
-                    home[a], moved = best, True
-                mass[home[a]] += degree[a]
-            if not moved:
-                break
-        number: dict[int, int] = {}
-        return pd.DataFrame({"node": order, "community": [number.setdefault(home[a], len(number)) for a in order]})
-
-    return rows.groupBy(F.lit("all")).applyInPandas(move, "node long, community long")
+def louvain(edges: DataFrame, resolution: float = 1.0, passes: int = 20, former: DataFrame | dict | None = None, changed: DataFrame | set | None = None) -> DataFrame:
+    """Local moving of single nodes in order of id until no move gains: sequential by nature, so one task at any size. It
+    reads each node's edges in order from a file of its own, in every pass, and holds only some numbers a node. From a
+    former result (node, community) only the changed nodes (node) move; new nodes begin alone."""
+    spark = edges.sparkSession
+    both = edges.select("u", "v", "w").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    rows = both.filter("u is not null and v is not null").groupBy("u", "v").agg(F.sum("w").cast("double").alias("w"))
+    none = F.lit(None)
+    if isinstance(former, dict):
+        former = spark.createDataFrame(list(former.items()), "node long, community long") if former else None
+    if isinstance(changed, set):
+        changed = spark.createDataFrame([(n,) for n in changed], "node long")
+    if former is not None and former.isEmpty():
+        former = None
+    if former is not None:
+        # a row without v stands ahead of a node's edges and tells of its former community and whether it moves
+        known = former.select(F.col("node").alias("u"), F.col("community").cast("long").alias("was"), F.lit(False).alias("moves"))
+        asked = known.limit(0) if changed is None else changed.select(F.col("node").alias("u"), none.cast("long").alias("was"), F.lit(True).alias("moves"))
+        told = known.unionByName(asked).groupBy("u").agg(F.max("was").alias("was"), F.max("moves").alias("moves"))
+        told = told.select("u", none.cast("long").alias("v"), none.cast("double").alias("w"), "was", "moves")
+        rows = rows.select("u", "v", "w", none.cast("long").alias("was"), none.cast("boolean").alias("moves")).unionByName(told)
+    seeded = former is not None
+    one = rows.repartition(1).sortWithinPartitions(F.asc("u"), F.asc_nulls_first("v"))
+    return one.mapInArrow(lambda batches: _local_moving(batches, resolution, passes, seeded), "node long, community long")
+
+
+#: Edges that a louvain task reads at once.
+BLOCK = 1 << 20
+
+
+def _local_moving(batches, resolution: float, passes: int, seeded: bool):
+    """Louvain's one task: rows (u, v, w), with seeds also (was, moves), in order of u and v."""
+    import tempfile
+
+    import numpy as np
+    import pyarrow as pa
+
+    with tempfile.TemporaryFile() as ends, tempfile.TemporaryFile() as weights:
+        nodes, sizes, degrees, told = [], [], [], []
+        for batch in batches:
+            u, v = batch.column(0), batch.column(1)
+            link = v.is_valid().to_numpy(zero_copy_only=False)
+            ids = u.to_numpy(zero_copy_only=False).astype(np.int64)
+            w = batch.column(2).to_numpy(zero_copy_only=False)[link].astype(np.float64)
+            v.filter(pa.array(link)).to_numpy(zero_copy_only=False).astype(np.int64).tofile(ends)
+            w.tofile(weights)
+            if seeded and not link.all():
+                was, moves = (batch.column(k).filter(pa.array(~link)) for k in (3, 4))
+                told.append((ids[~link], was.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), was.is_valid().to_numpy(zero_copy_only=False), moves.to_numpy(zero_copy_only=False).astype(bool)))
+            own, first, count = np.unique(ids[link], return_index=True, return_counts=True)
+            if len(own):
+                total = np.add.reduceat(w, first)
+                if nodes and nodes[-1][-1] == own[0]:  # a node's edges go on from the batch before
+                    sizes[-1][-1] += count[0]
+                    degrees[-1][-1] += total[0]
+                    own, count, total = own[1:], count[1:], total[1:]
+                if len(own):
+                    nodes.append(own), sizes.append(count), degrees.append(total)
+        if not nodes:
+            return
+        node, size, degree = map(np.concatenate, (nodes, sizes, degrees))
+        del nodes, sizes, degrees
+        n, double, start = len(node), float(degree.sum()), np.concatenate([[0], np.cumsum(size)])
+        home, moving, old = np.arange(n), np.ones(n, bool), np.empty(0, np.int64)
+        if seeded:
+            ids, was, has, moves = (np.concatenate(x) for x in zip(*told)) if told else (np.empty(0, np.int64),) * 4
+            at = np.minimum(np.searchsorted(node, ids), n - 1)
+            here = node[at] == ids  # what is told of nodes without edges is passed over
+            at, was, has, moves = at[here], was[here], has[here].astype(bool), moves[here].astype(bool)
+            old = np.unique(was[has])
+            home += len(old)
+            home[at[has]] = np.searchsorted(old, was[has])
+            moving[:] = False
+            moving[at] = moves
+        mass = np.bincount(home, degree, len(old) + n)
+        links = np.zeros(len(old) + n)
+        # ends as places of nodes, in a file again
+        ends.seek(0)
+        with tempfile.TemporaryFile() as places:
+            while len(block := np.fromfile(ends, np.int64, BLOCK)):
+                np.searchsorted(node, block).astype(np.int64).tofile(places)
+            places.flush(), weights.flush()
+            to, weight = (np.asarray(np.memmap(f, dtype, "r")) for f, dtype in ((places, np.int64), (weights, np.float64)))
+
+            def name(c: int) -> str:
+                return f"('old', {old[c]})" if c < len(old) else f"('new', {node[c - len(old)]})"
+
+            turn = np.flatnonzero(moving).tolist() if double > 0 else []
+            begin, degree_of = start.tolist(), degree.tolist()
+            for _ in range(passes):
+                moved = False
+                for a in turn:
+                    lo, hi = begin[a], begin[a + 1]
+                    near, w = to[lo:hi], weight[lo:hi]
+                    if (near == a).any():
+                        near, w = near[near != a], w[near != a]
+                    mine, mass_a = home[a], degree_of[a]
+                    mass[mine] -= mass_a
+                    homes = home[near]
+                    np.add.at(links, homes, w)
+                    per = resolution * mass_a
+                    gains = links[homes] - per * mass[homes] / double
+                    stay = links[mine] - per * mass[mine] / double
+                    links[homes] = 0.0
+                    top = gains.max() if len(gains) else stay
+                    if top > stay + 1e-12:
+                        best = np.unique(homes[gains == top]).tolist()
+                        mine = min(best, key=name) if seeded else best[0]
+                        home[a], moved = mine, True
+                    mass[mine] += mass_a
+                if not moved:
+                    break
+        # communities are numbered as they come up in order of id
+        _, first, back = np.unique(home, return_index=True, return_inverse=True)
+        number = np.empty(len(first), np.int64)
+        number[np.argsort(first)] = np.arange(len(first))
+        community = number[back]
+        for k in range(0, n, BLOCK):
+            yield pa.RecordBatch.from_arrays([pa.array(node[k : k + BLOCK]), pa.array(community[k : k + BLOCK])], ["node", "community"])
 
 
 def chain(snapshots: DataFrame, head: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """What must not grow with the graph: tables that are written for a query, and limits that refused large inputs."""
 
 import os
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom import catalog
 from graphloom.operators import context, iterative, relational
@@ -73,3 +75,57 @@ def test_walk_reads_the_edges_of_its_nodes(spark):
     got = context.walk(edges, spark.createDataFrame([(0, 1.0)], "node long, s double"), rounds=3, settled=0.0)
     assert {r["node"] for r in got.collect()} == {0, 1, 2, 3}
     assert sum(spark.read.parquet(f"{shared_dir(spark)}/{d}").count() for d in _written(spark) - before if d.startswith("graphloom-step")) <= 6
+
+
+def _louvain_by_dicts(rows, resolution=1.0, passes=20, former=None, changed=None):
+    near = {}
+    for u, v, w in rows:
+        for a, b in ((u, v), (v, u)):
+            near.setdefault(a, {})[b] = near.get(a, {}).get(b, 0.0) + w
+    order = sorted(near)
+    degree = {a: sum(near[a].values()) for a in order}
+    double, mass = sum(degree.values()), {}
+    home = {a: (("old", former[a]) if a in former else ("new", a)) if former else a for a in order}
+    for a in order:
+        mass[home[a]] = mass.get(home[a], 0.0) + degree[a]
+    for _ in range(passes):
+        moved = False
+        for a in order if not former else [a for a in order if a in changed]:
+            links = {}
+            for b, w in sorted(near[a].items()):
+                if b != a:
+                    links[home[b]] = links.get(home[b], 0.0) + w
+            mass[home[a]] -= degree[a]
+            gain = {c: links.get(c, 0.0) - resolution * degree[a] * mass[c] / double for c in {*links, home[a]}}
+            best = min(gain, key=lambda c: (-gain[c], str(c) if former else c))
+            if gain[best] > gain[home[a]] + 1e-12:
+                home[a], moved = best, True
+            mass[home[a]] += degree[a]
+        if not moved:
+            break
+    number = {}
+    return {a: number.setdefault(home[a], len(number)) for a in order}
+
+
+@pytest.mark.parametrize("batch", [10_000, 7])
+def test_louvain_is_that_of_plain_python(spark, batch):
+    """Whole and from a former result, with self-links, repeats and nodes whose edges are cut by batches."""
+    rng = random.Random(batch)
+    rows = [(rng.randrange(80) * 3 - 50, rng.randrange(80) * 3 - 50, float(rng.randrange(1, 4))) for _ in range(500)] + [(900, 901, 1.0), (902, 902, 2.0)]
+    df = spark.createDataFrame(rows, "u long, v long, w double")
+    former, changed = {n: n * n % 12 - 3 for n in range(-50, 120, 6)} | {5000: 1}, {*range(-50, 190, 4), 900, 7777}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for resolution in (1.0, 0.3):
+            assert {r["node"]: r["community"] for r in iterative.louvain(df, resolution).collect()} == _louvain_by_dicts(rows, resolution)
+        assert {r["node"]: r["community"] for r in iterative.louvain(df, former=former, changed=changed).collect()} == _louvain_by_dicts(rows, former=former, changed=changed)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_louvain_takes_over_two_million_edges(spark):
+    """Such graphs were refused. Two groups of 1500 nodes, all linked, and a link between them."""
+    k = F.col("id")
+    edges = spark.range(2 * 1500 * 1500).select((F.floor(k / 1500)).alias("u"), (k % 1500 + F.when(k >= 1500 * 1500, 1500).otherwise(0)).alias("v"), F.lit(1.0).alias("w"))
+    got = {r["node"]: r["community"] for r in iterative.louvain(edges.unionByName(spark.createDataFrame([(0, 1500, 1.0)], "u long, v long, w double"))).collect()}
+    assert got == {n: n // 1500 for n in range(3000)}
