@@ -66,8 +66,8 @@ def louvain_incremental(spark, d):
     from graphloom.operators import iterative
 
     edges = cut(derived.next_user_edges(spark, d), "edges")
-    former = {r["node"]: r["community"] for r in iterative.louvain(edges).collect()}  # at most twice the edges that louvain takes
-    return iterative.louvain(edges, former=former, changed={n for n in former if n < 10})
+    former = cut(iterative.louvain(edges), "former")
+    return iterative.louvain(edges, former=former, changed=former.filter("node < 10"))
 
 
 def _incremental_sql(rounds: int) -> str:

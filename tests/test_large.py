@@ -1,5 +1,6 @@
 """What must not grow with the graph: tables that are written for a query, and limits that refused large inputs."""
 
+import datetime
 import os
 import random
 
@@ -129,3 +130,15 @@ def test_louvain_takes_over_two_million_edges(spark):
     edges = spark.range(2 * 1500 * 1500).select((F.floor(k / 1500)).alias("u"), (k % 1500 + F.when(k >= 1500 * 1500, 1500).otherwise(0)).alias("v"), F.lit(1.0).alias("w"))
     got = {r["node"]: r["community"] for r in iterative.louvain(edges.unionByName(spark.createDataFrame([(0, 1500, 1.0)], "u long, v long, w double"))).collect()}
     assert got == {n: n // 1500 for n in range(3000)}
+
+
+def test_incremental_louvain_takes_a_table(spark, tmp_path):
+    """The former result stays a table: it was collected as a dictionary."""
+    users = [k * k % 97 for k in range(400)]
+    spark.createDataFrame([(k, datetime.datetime(2024, 1, 1), u) for k, u in enumerate(users)], "event_id long, ts timestamp_ntz, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    rows = [(u, v, 1.0) for u, v in zip(users, users[1:])]
+    former = _louvain_by_dicts(rows)
+    before = _written(spark)
+    got = {r["node"]: r["community"] for r in catalog.QUERIES["louvain_incremental"](spark, str(tmp_path)).collect()}
+    assert got == _louvain_by_dicts(rows, former=former, changed={n for n in former if n < 10})
+    assert any(d.startswith("graphloom-former") for d in _written(spark) - before)
