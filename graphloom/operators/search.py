@@ -178,7 +178,7 @@ def graph_aliases(seeds: DataFrame, nodes: DataFrame, calls: DataFrame, most: in
     n = nodes.select(F.col("node_hash").alias("other"), "qualified_name")
     into = calls.select(F.col("target_hash").alias("node_hash"), F.col("source_hash").alias("other"), F.lit(0).alias("way"))
     out = calls.select(F.col("source_hash").alias("node_hash"), F.col("target_hash").alias("other"), F.lit(1).alias("way"))
-    near = into.unionByName(out).distinct().join(F.broadcast(s), "node_hash").join(n, "other")
+    near = into.unionByName(out).join(F.broadcast(s), "node_hash").distinct().join(n, "other")
     bare = F.regexp_replace(F.substring_index("qualified_name", "/", -1), r"^[^.]*\.", "")
     words = F.filter(F.split(F.regexp_replace(bare, "(?<=[a-z])(?=[A-Z])", "."), "[._]"), lambda w: (F.octet_length(w) >= 3) & ~F.lower(w).isin(*T.ALIAS_GENERIC))
     rows = near.select("node_hash", "target", "way", "qualified_name", F.posexplode(F.transform(words, F.lower)).alias("k", "w")).filter(~F.contains(F.lower("target"), F.col("w")))

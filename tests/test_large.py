@@ -11,6 +11,7 @@ from graphloom import catalog
 from graphloom.operators import context, iterative, relational
 from graphloom.plans import derived
 from graphloom.plans.lineage import shared_dir
+from graphloom.queries import retrieval
 
 
 def _written(spark):
@@ -142,3 +143,26 @@ def test_incremental_louvain_takes_a_table(spark, tmp_path):
     got = {r["node"]: r["community"] for r in catalog.QUERIES["louvain_incremental"](spark, str(tmp_path)).collect()}
     assert got == _louvain_by_dicts(rows, former=former, changed={n for n in former if n < 10})
     assert any(d.startswith("graphloom-former") for d in _written(spark) - before)
+
+
+@pytest.fixture
+def some_parts(spark, tables, tmp_path):
+    """Tables in which some links leave unknown symbols, and some stand twice."""
+    for name in os.listdir(tables):
+        if name not in ("part.parquet", "lineitem.parquet"):
+            (tmp_path / name).symlink_to(f"{tables}/{name}")
+    part, line = (spark.read.parquet(f"{tables}/{n}.parquet") for n in ("part", "lineitem"))
+    part.filter("p_partkey % 5 <> 1").write.parquet(f"{tmp_path}/part.parquet")
+    line.unionByName(line.filter("l_linenumber < 3").withColumn("l_shipdate", F.expr("l_shipdate - interval 9 days"))).write.parquet(f"{tmp_path}/lineitem.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["weighted_walk"])
+def test_links_are_read_where_they_lie(spark, some_parts, monkeypatch, name):
+    """Links by id are not written, and give what links by hash do."""
+    before = _written(spark)
+    got = sorted(map(tuple, catalog.QUERIES[name](spark, some_parts).collect()))
+    kinds = {d.removeprefix("graphloom-").rsplit("-", 1)[0] for d in _written(spark) - before}
+    assert not kinds & {"store-ends", "store-links", "store-feedback", "edges", "steps", "near"}
+    monkeypatch.setattr(retrieval, "numbered_links", lambda *_: None)
+    assert got and got == sorted(map(tuple, catalog.QUERIES[name](spark, some_parts).collect()))
