@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom import catalog
-from graphloom.operators import context, iterative, relational
+from graphloom.operators import communities, context, iterative, relational
 from graphloom.plans import derived
 from graphloom.plans.lineage import shared_dir
 from graphloom.queries import retrieval
@@ -166,3 +166,11 @@ def test_links_are_read_where_they_lie(spark, some_parts, monkeypatch, name):
     assert not kinds & {"store-ends", "store-links", "store-feedback", "edges", "steps", "near"}
     monkeypatch.setattr(retrieval, "numbered_links", lambda *_: None)
     assert got and got == sorted(map(tuple, catalog.QUERIES[name](spark, some_parts).collect()))
+
+
+def test_fine_louvain_takes_over_two_million_edges(spark):
+    """Four groups of 800 nodes, all linked, and links from each to the next."""
+    k = F.col("id")
+    edges = spark.range(4 * 800 * 800).select((F.floor(k / 800)).alias("u"), (F.floor(k / 640_000) * 800 + k % 800).alias("v"), F.lit(1.0).alias("w"))
+    rows = edges.unionByName(spark.createDataFrame([(g * 800, g * 800 + 800, 1.0) for g in range(3)], "u long, v long, w double"))
+    assert {r["node"]: r["community"] for r in communities.detect(rows, "louvain-fine").collect()} == {n: n // 800 for n in range(3200)}
