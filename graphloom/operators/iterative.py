@@ -206,8 +206,10 @@ def louvain(edges: DataFrame, resolution: float = 1.0, passes: int = 20, former:
     reads each node's edges in order from a file of its own, in every pass, and holds only some numbers a node. From a
     former result (node, community) only the changed nodes (node) move; new nodes begin alone."""
     spark = edges.sparkSession
-    both = edges.select("u", "v", "w").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
-    rows = both.filter("u is not null and v is not null").groupBy("u", "v").agg(F.sum("w").cast("double").alias("w"))
+    ends = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
+    pairs = edges.filter("u is not null and v is not null").groupBy(*ends).agg(F.sum("w").cast("double").alias("w"))
+    ways = "CASE WHEN u = v THEN array(struct(u, v, w * 2 AS w)) ELSE array(struct(u, v, w), struct(v AS u, u AS v, w)) END"
+    rows = pairs.select(F.inline(F.expr(ways)))
     none = F.lit(None)
     if isinstance(former, dict):
         former = spark.createDataFrame(list(former.items()), "node long, community long") if former else None
@@ -223,7 +225,8 @@ def louvain(edges: DataFrame, resolution: float = 1.0, passes: int = 20, former:
         told = told.select("u", none.cast("long").alias("v"), none.cast("double").alias("w"), "was", "moves")
         rows = rows.select("u", "v", "w", none.cast("long").alias("was"), none.cast("boolean").alias("moves")).unionByName(told)
     seeded = former is not None
-    one = rows.repartition(1).sortWithinPartitions(F.asc("u"), F.asc_nulls_first("v"))
+    # a node's rows lie in one of many parts; the task sorts these one after the other, which takes little memory and no spill
+    one = rows.repartition("u").sortWithinPartitions(F.asc("u"), F.asc_nulls_first("v")).coalesce(1)
     return one.mapInArrow(lambda batches: _local_moving(batches, resolution, passes, seeded), "node long, community long")
 
 
@@ -232,7 +235,7 @@ BLOCK = 1 << 20
 
 
 def _local_moving(batches, resolution: float, passes: int, seeded: bool):
-    """Louvain's one task: rows (u, v, w), with seeds also (was, moves), in order of u and v."""
+    """Louvain's one task: rows (u, v, w), with seeds also (was, moves); those of a u stand together, in order of v."""
     import tempfile
 
     import numpy as np
@@ -250,7 +253,9 @@ def _local_moving(batches, resolution: float, passes: int, seeded: bool):
             if seeded and not link.all():
                 was, moves = (batch.column(k).filter(pa.array(~link)) for k in (3, 4))
                 told.append((ids[~link], was.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), was.is_valid().to_numpy(zero_copy_only=False), moves.to_numpy(zero_copy_only=False).astype(bool)))
-            own, first, count = np.unique(ids[link], return_index=True, return_counts=True)
+            ids = ids[link]
+            first = np.flatnonzero(np.concatenate([np.ones(min(len(ids), 1), bool), ids[1:] != ids[:-1]]))
+            own, count = ids[first], np.diff(first, append=len(ids))
             if len(own):
                 total = np.add.reduceat(w, first)
                 if nodes and nodes[-1][-1] == own[0]:  # a node's edges go on from the batch before
@@ -263,7 +268,9 @@ def _local_moving(batches, resolution: float, passes: int, seeded: bool):
             return
         node, size, degree = map(np.concatenate, (nodes, sizes, degrees))
         del nodes, sizes, degrees
-        n, double, start = len(node), float(degree.sum()), np.concatenate([[0], np.cumsum(size)])
+        start, order = np.cumsum(size) - size, np.argsort(node)
+        node, size, degree, start = node[order], size[order], degree[order], start[order]
+        n, double = len(node), float(degree.sum())
         home, moving, old = np.arange(n), np.ones(n, bool), np.empty(0, np.int64)
         if seeded:
             ids, was, has, moves = (np.concatenate(x) for x in zip(*told)) if told else (np.empty(0, np.int64),) * 4
@@ -277,42 +284,40 @@ def _local_moving(batches, resolution: float, passes: int, seeded: bool):
             moving[at] = moves
         mass = np.bincount(home, degree, len(old) + n)
         links = np.zeros(len(old) + n)
-        # ends as places of nodes, in a file again
-        ends.seek(0)
-        with tempfile.TemporaryFile() as places:
-            while len(block := np.fromfile(ends, np.int64, BLOCK)):
-                np.searchsorted(node, block).astype(np.int64).tofile(places)
-            places.flush(), weights.flush()
-            to, weight = (np.asarray(np.memmap(f, dtype, "r")) for f, dtype in ((places, np.int64), (weights, np.float64)))
-
-            def name(c: int) -> str:
-                return f"('old', {old[c]})" if c < len(old) else f"('new', {node[c - len(old)]})"
-
-            turn = np.flatnonzero(moving).tolist() if double > 0 else []
-            begin, degree_of = start.tolist(), degree.tolist()
-            for _ in range(passes):
-                moved = False
-                for a in turn:
-                    lo, hi = begin[a], begin[a + 1]
-                    near, w = to[lo:hi], weight[lo:hi]
-                    if (near == a).any():
-                        near, w = near[near != a], w[near != a]
-                    mine, mass_a = home[a], degree_of[a]
-                    mass[mine] -= mass_a
-                    homes = home[near]
-                    np.add.at(links, homes, w)
-                    per = resolution * mass_a
-                    gains = links[homes] - per * mass[homes] / double
-                    stay = links[mine] - per * mass[mine] / double
-                    links[homes] = 0.0
-                    top = gains.max() if len(gains) else stay
-                    if top > stay + 1e-12:
-                        best = np.unique(homes[gains == top]).tolist()
-                        mine = min(best, key=name) if seeded else best[0]
-                        home[a], moved = mine, True
-                    mass[mine] += mass_a
-                if not moved:
-                    break
+        # ends become places of nodes, in the same file
+        ends.flush(), weights.flush()
+        to, weight = np.asarray(np.memmap(ends, np.int64, "r+")), np.asarray(np.memmap(weights, np.float64, "r"))
+        for k in range(0, len(to), BLOCK):
+            to[k : k + BLOCK] = np.searchsorted(node, to[k : k + BLOCK])
+
+        def name(c: int) -> str:
+            return f"('old', {old[c]})" if c < len(old) else f"('new', {node[c - len(old)]})"
+
+        turn = np.flatnonzero(moving).tolist() if double > 0 else []
+        begin, end, degree_of = start.tolist(), (start + size).tolist(), degree.tolist()
+        for _ in range(passes):
+            moved = False
+            for a in turn:
+                lo, hi = begin[a], end[a]
+                near, w = to[lo:hi], weight[lo:hi]
+                if (near == a).any():
+                    near, w = near[near != a], w[near != a]
+                mine, mass_a = home[a], degree_of[a]
+                mass[mine] -= mass_a
+                homes = home[near]
+                np.add.at(links, homes, w)
+                per = resolution * mass_a
+                gains = links[homes] - per * mass[homes] / double
+                stay = links[mine] - per * mass[mine] / double
+                links[homes] = 0.0
+                top = gains.max() if len(gains) else stay
+                if top > stay + 1e-12:
+                    best = np.unique(homes[gains == top]).tolist()
+                    mine = min(best, key=name) if seeded else best[0]
+                    home[a], moved = mine, True
+                mass[mine] += mass_a
+            if not moved:
+                break
         # communities are numbered as they come up in order of id
         _, first, back = np.unique(home, return_index=True, return_inverse=True)
         number = np.empty(len(first), np.int64)

@@ -3,7 +3,10 @@
 import datetime
 import os
 import random
+import tempfile
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +177,55 @@ def test_fine_louvain_takes_over_two_million_edges(spark):
     edges = spark.range(4 * 800 * 800).select((F.floor(k / 800)).alias("u"), (F.floor(k / 640_000) * 800 + k % 800).alias("v"), F.lit(1.0).alias("w"))
     rows = edges.unionByName(spark.createDataFrame([(g * 800, g * 800 + 800, 1.0) for g in range(3)], "u long, v long, w double"))
     assert {r["node"]: r["community"] for r in communities.detect(rows, "louvain-fine").collect()} == {n: n // 800 for n in range(3200)}
+
+
+def test_louvain_takes_nodes_in_any_order(monkeypatch):
+    """Parts are sorted one after the other, so nodes come in no order; the task's files hold two numbers a row, not three."""
+    rng = random.Random(3)
+    rows = [(rng.randrange(60), rng.randrange(60), float(rng.randrange(1, 4))) for _ in range(300)]
+    near = {}
+    for a, b, w in [*rows, *((v, u, w) for u, v, w in rows)]:
+        near.setdefault(a, Counter())[b] += w
+    order = sorted(near, key=lambda a: (a * 7 % 5, a))
+    flat = [(a, b, near[a][b]) for a in order for b in sorted(near[a])]
+    files, new = [], tempfile.TemporaryFile
+
+    def kept():
+        files.append(os.dup((f := new()).fileno()))
+        return f
+
+    monkeypatch.setattr(tempfile, "TemporaryFile", kept)
+    for size in (1000, 7):
+        batches = [pa.RecordBatch.from_pydict(dict(zip("uvw", map(list, zip(*flat[k : k + size]))))) for k in range(0, len(flat), size)]
+        got = [x for b in iterative._local_moving(iter(batches), 0.3, 20, False) for x in zip(*b.to_pydict().values())]
+        assert got == sorted(_louvain_by_dicts(rows, 0.3).items())
+        assert sum(os.fstat(f).st_size for f in files) == 16 * len(flat)
+        while files:
+            os.close(files.pop())
+
+
+def test_louvain_sorts_in_parts(spark):
+    """The one task took all rows through one exchange and sorted them at once, which spilled."""
+    edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 3, 1.0)], "u long, v long, w double")
+    plan = communities.detect(edges, "louvain-fine")._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce 1" in plan and "SinglePartition" not in plan and "Union" not in plan
+
+
+def test_user_pairs_are_written_without_their_times(spark, tmp_path):
+    """Events were written with time and number and shuffled again; users may be null, and ranges and batches end anywhere."""
+    users = [None if k % 11 == 5 else k * k % 23 for k in range(400)]
+    rows = [(k, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=k // 3), u) for k, u in enumerate(users)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long").repartition(5, F.rand(1)).write.parquet(f"{tmp_path}/events.parquet")
+    before = _written(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = derived.next_user_edges(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = Counter((u, v) for u, v in zip(users, users[1:]) if u is not None and v is not None)
+    assert {(r["u"], r["v"]): r["w"] for r in got} == want
+    (made,) = (d for d in _written(spark) - before if d.startswith("graphloom-events"))
+    table = spark.read.parquet(f"{shared_dir(spark)}/{made}")
+    assert table.columns == ["part", "u", "v"] and table.count() == 400 and table.filter("part is not null").count() > 1
